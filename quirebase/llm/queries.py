@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, packing, sharding, simhash, winnow
+from . import flac, langid, packing, sharding, simhash, suffixarray, suffixtree, winnow
 
 
 def tokenizer() -> str:
@@ -16,6 +16,18 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.stored(table(spark, sf_dir, "documents")))
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.without_repeats(table(spark, sf_dir, "documents"), 35)
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.without_later_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"), 16)
     return out.selectExpr("doc_id", "size", "text_crc32", "'bytes' as law", "shard", "slot", "cast(null as int) as grown_shard")
@@ -37,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.id_crc(packing.packed(table(spark, sf_dir, "documents"), tokenizer(), 2048, 1))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op5_language, op7_simhash, op8_winnowing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_suffix_tree, op9_suffix_array, op3_sharding, op5_language, op7_simhash, op8_winnowing, op10_packing)}
 ORACLES: dict[str, str] = {}
