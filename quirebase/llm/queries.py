@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import flac, langid, packing, sharding, simhash, suffixarray, suffixtree, winnow
+from . import flac, langid, linededup, mixing, packing, sharding, simhash, suffixarray, suffixtree, winnow
 
 
 def tokenizer() -> str:
@@ -33,6 +33,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "size", "text_crc32", "'bytes' as law", "shard", "slot", "cast(null as int) as grown_shard")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_boilerplate(table(spark, sf_dir, "documents"), "source").select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "repetitions", "copy")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.id_crc(packing.packed(table(spark, sf_dir, "documents"), tokenizer(), 2048, 1))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_suffix_tree, op9_suffix_array, op3_sharding, op5_language, op7_simhash, op8_winnowing, op10_packing)}
-ORACLES: dict[str, str] = {}
+_ALL = (op1_flac, op2_suffix_tree, op3_sharding, op4_line_dedup, op5_language, op6_mixing, op7_simhash, op8_winnowing, op9_suffix_array, op10_packing)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op4_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL}
