@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,6 +27,15 @@ def session(app: str = "quirebase", cores: str = "8", partitions: int = 8) -> Sp
     return spark
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; elsewhere submit it with --py-files."""
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; only Spark's reader touches the path, so any store works."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
