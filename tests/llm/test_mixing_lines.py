@@ -32,7 +32,7 @@ def test_lines(which, request, spark):
     want = brute_lines(rows)
     got = linededup.without_boilerplate(docs, "source").select("doc_id", "text", "n_lines", "n_dropped").collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
-    assert any(w[3] for w in want)
+    assert which == "real" or any(w[3] for w in want)  # sf0.001 has too few pages a host for boilerplate
 
 
 def brute_mix(rows, seed, weights=None):
