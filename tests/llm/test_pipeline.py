@@ -18,7 +18,7 @@ def test_stages(spark, sf, odd):
 
 def test_decisions(spark, sf):
     real = spark.read.parquet(f"{sf}/documents.parquet")
-    junk = spark.createDataFrame([(10**6, "12 34 !!", "en", "src1", 8), (10**6 + 1, "zq" * 40 + " xk qj wv zx " * 9, None, "src1", 100)]  # unlabelled, else it would be training text, real.schema)
+    junk = spark.createDataFrame([(10**6, "12 34 !!", "en", "src1", 8), (10**6 + 1, "zq" * 40 + " xk qj wv zx " * 9, None, "src1", 100)], real.schema)  # the second is unlabelled, else it would be training text
     out = pipeline.language(spark, real.unionByName(junk), sf)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in real.collect()}
     kept = {r.doc_id for r in pipeline.near_dedup(spark, real, sf).collect()}
