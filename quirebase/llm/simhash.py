@@ -6,10 +6,11 @@ neighbours (five on average), so two segments that differ in at most one bit sha
 
 * 64 bits in three segments, at most 3 errors: at least two segments have at most one error each. Keys are therefore
   pairs of codewords, 24 bits for each of the three pairs of segments (`pairs=True`). No link is lost.
-* wide fingerprints of estimated similarity: one segment with at most one error is enough (`pairs=False`).
+* wide fingerprints, for similarity of texts: one segment with at most one error is enough (`pairs=False`). Pairs whose
+  bits leave doubt are verified on the whole texts.
 
-Rows of equal keys are joined by sorting; every pair of a key is verified by counting bits, and only a spanning forest
-of the verified links leaves a task. Texts with equal fingerprints were merged before, so a group of copies, however
+Rows of equal keys are joined by sorting; every pair of a key is verified by counting bits, and of the links that this
+settles only a spanning forest leaves a task. Texts with equal fingerprints were merged before, so a group of copies, however
 large, is one row. A key with more than BLOCK fingerprints is compared block by block in constant memory.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are documents of their
@@ -32,6 +33,7 @@ from .shared import components, small_batches, written
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 BLOCK = 1024
+PAIRS = 1_000_000
 SHINGLES = 65_536
 
 
@@ -98,8 +100,8 @@ def _spread(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, fp): fp is 8 x words bytes, most significant first."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: bool = False) -> DataFrame:
+    """Rows (doc_id, fp), and the text with keep: fp is 8 x words bytes, most significant first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +109,10 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: list[str
             for text in batch.column(1).to_pylist():
                 h = hashes(text, width)
                 out.append(b"".join(np.packbits(majority(_spread(h, w))).tobytes() for w in range(words)))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), *batch.columns[1 : 1 + keep]], ["doc_id", "fp", "text"][: 2 + keep])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary" + ", text string" * keep)
 
 
 def _segments(fp: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -163,40 +165,75 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def links(keys: DataFrame, within: int) -> DataFrame:
-    """Rows (key, id, fp) -> edges (a, b): a spanning forest of the pairs of equal key at most `within` bits apart."""
+def settled(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges a-b: the near ones as a spanning forest, the others once each, if the forest doesn't join their ends already."""
+    node, root = forest(a[near], b[near])
+    x, y = np.minimum(a[~near], b[~near]), np.maximum(a[~near], b[~near])
+    if len(x):
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        x, y = x[fresh], y[fresh]
+        if len(node):
+            ends = []
+            for z in (x, y):
+                at = np.minimum(np.searchsorted(node, z), len(node) - 1)
+                ends.append(np.where(node[at] == z, root[at], z))
+            x, y = x[ends[0] != ends[1]], y[ends[0] != ends[1]]
+    return np.concatenate([node, x]), np.concatenate([root, y]), np.arange(len(node) + len(x)) < len(node)
 
-    def one(fp: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
+    """Rows (key, id, fp) -> edges (a, b, near) between pairs of equal key at most `within` bits apart.
+
+    Edges of at most `sure` bits (near; all of them, unless given) come as a spanning forest, the others pair by pair.
+    """
+    sure = within if sure is None else sure
+
+    def one(fp: np.ndarray, ids: np.ndarray) -> Iterator[Edges]:
         """All rows are of one key, and too many for the shifted comparison."""
-        found = []
         for i in range(0, len(fp), BLOCK):
             for j in range(i, len(fp), BLOCK):
-                x, y = np.nonzero(_apart(fp[i : i + BLOCK, None], fp[None, j : j + BLOCK]) <= within)
+                apart = _apart(fp[i : i + BLOCK, None], fp[None, j : j + BLOCK])
+                x, y = np.nonzero(apart <= within)
                 keep = x + i < y + j
-                if keep.any():
-                    found.append(forest(ids[x[keep] + i], ids[y[keep] + j]))
-            if len(found) > 64:
-                found = [forest(*(np.concatenate(z) for z in zip(*found, strict=True)))]
-        return found
+                x, y = x[keep], y[keep]
+                if len(x):
+                    yield ids[x + i], ids[y + j], apart[x, y] <= sure
 
-    def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[Edges]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         count = np.diff(edge)
-        found = []
         for r in np.flatnonzero(count > BLOCK):
-            found += one(fp[edge[r] : edge[r + 1]], ids[edge[r] : edge[r + 1]])
+            yield from one(fp[edge[r] : edge[r + 1]], ids[edge[r] : edge[r + 1]])
         left = np.repeat(edge[1:], count) - np.arange(len(key)) - 1  # rows of the key after this one
         left[np.repeat(count > BLOCK, count)] = 0
         at, shift = np.flatnonzero(left > 0), 1
         while len(at):
-            near = at[_apart(fp[at], fp[at + shift]) <= within]
-            if len(near):
-                found.append((ids[near], ids[near + shift]))
-            if len(found) > 64:
-                found = [forest(*(np.concatenate(z) for z in zip(*found, strict=True)))]
+            apart = _apart(fp[at], fp[at + shift])
+            close = apart <= within
+            if close.any():
+                yield ids[at[close]], ids[at[close] + shift], apart[close] <= sure
             shift += 1
             at = at[left[at] >= shift]
-        return found
+
+    def compact(parts: Iterator[Edges]) -> Iterator[pa.RecordBatch]:
+        held: list[Edges] = []
+        size = 0
+        for part in parts:
+            held.append(part)
+            size += len(part[0])
+            if size > PAIRS:
+                held = [settled(*(np.concatenate(z) for z in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > PAIRS // 2:
+                    yield pa.record_batch([pa.array(z) for z in held[0]], ["a", "b", "near"])
+                    held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(z) for z in settled(*(np.concatenate(z) for z in zip(*held, strict=True)))], ["a", "b", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -207,10 +244,8 @@ def links(keys: DataFrame, within: int) -> DataFrame:
             key, ids, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             end = len(key) if last else int(np.searchsorted(key, key[-1]))
             held, rows = ([], 0) if last else ([(key[end:], ids[end:], fp[end:])], len(key) - end)
-            found = linked(key[:end], ids[:end], fp[:end]) if end else []
-            if found:
-                a, b = forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            if end:
+                yield from compact(linked(key[:end], ids[:end], fp[:end]))
 
         for batch in batches:
             if len(batch):
@@ -222,18 +257,27 @@ def links(keys: DataFrame, within: int) -> DataFrame:
         if held:
             yield from flush(True)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, near boolean")
 
 
-def grouped(prints: DataFrame, within: int, pairs: bool) -> DataFrame:
-    """prints (doc_id, fp), written -> rows (doc_id, fp, component_id), components of fingerprints at most `within` bits apart."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp")), "prints")
-    label = components(links(keyed(nodes.select("id", "fp"), pairs), within))
+def merged(prints: DataFrame) -> DataFrame:
+    """Rows (id, fp, least): a node for each fingerprint, with its least doc_id."""
+    return written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp")), "prints")
+
+
+def spread(prints: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """label (node, label) -> rows (doc_id, fp, component_id) of all documents."""
     nodes = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def grouped(prints: DataFrame, within: int, pairs: bool) -> DataFrame:
+    """prints (doc_id, fp), written -> rows (doc_id, fp, component_id), components of fingerprints at most `within` bits apart."""
+    nodes = merged(prints)
+    return spread(prints, nodes, components(links(keyed(nodes.select("id", "fp"), pairs), within)))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, within: int = 3) -> DataFrame:
     """64-bit fingerprints linked at `within` (3 or fewer) differing bits: rows (doc_id, fingerprint, component_id). Exact."""
     if not 0 <= within <= 3:
@@ -242,21 +286,65 @@ def near_duplicates(docs: DataFrame, width: int = 3, within: int = 3) -> DataFra
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: Bits of the stage's wide fingerprint, and the differing ones at which two texts still count as similar to 0.8.
-WIDE_WORDS, WIDE_WITHIN = 4, 41
+#: Words of the stage's wide fingerprint. A Jaccard similarity of 0.8 stands for an angle at which 15 % of the bits differ,
+#: 39 of 256 with a standard error of 6: up to WIDE_SURE bits (2.6 errors) two texts are similar, up to WIDE_WITHIN they may be.
+WIDE_WORDS, WIDE_SURE, WIDE_WITHIN = 4, 24, 52
+SIMILAR = 0.8
+
+
+def jaccard(a: str, b: str, width: int) -> float:
+    """Of the sets of the texts' shingles."""
+    x, y = (np.unique(hashes(t, width)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def checked(docs: DataFrame, nodes: DataFrame, doubt: DataFrame) -> DataFrame:
+    """doubt (a, b, la, lb), pairs of nodes -> the (la, lb) of those whose texts are similar, by all their shingles."""
+    ends = doubt.select(F.col("a").alias("id")).union(doubt.select("b")).distinct()
+    ends = written(nodes.join(ends, "id", "left_semi"), "ends")
+    wanted = docs.join(ends.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_least")), "left_semi")
+    texts = fingerprints(wanted, 5, WIDE_WORDS, keep=True).join(ends.select("id", "fp"), "fp").groupBy("id").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
+    pairs = doubt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [jaccard(x, y, 5) >= SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, component_id): components of texts that share 0.8 of their five-word shingles.
+
+    Wide fingerprints that meet by a key are linked at once where they are all but equal; a pair in doubt is linked
+    if its whole texts are similar, and not looked at where sure links join it already.
+    """
+    prints = written(fingerprints(docs, 5, WIDE_WORDS), "simhash")
+    nodes = merged(prints)
+    edges = written(links(keyed(nodes.select("id", "fp"), False), WIDE_WITHIN, WIDE_SURE), "links")
+    label = components(edges.where("near").select("a", "b"))
+    doubt = edges.where("not near").select("a", "b").distinct()
+    for end in ("a", "b"):
+        doubt = doubt.join(label.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    doubt = written(doubt.where("la <> lb").select("a", "b", "la", "lb"), "doubt")
+    again = components(checked(docs, nodes, doubt)).withColumnRenamed("label", "to")
+    every = nodes.select(F.col("id").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    every = every.join(again.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return spread(prints, nodes, every)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies, the least doc_id of each group (and one of its repeated rows) staying.
 
-    Five-word shingles, 256-bit fingerprints. A Jaccard similarity of 0.8 stands for an angle at which 15 % of the bits
-    differ (39 of 256, 41 with half a standard error), so similarity is estimated, not counted; README has the recall.
-    Texts without a word have nothing to compare and stay, but for repeated rows.
+    Groups are those of `similar`. Texts without a word have nothing to compare and stay, but for repeated rows.
     """
     cols = docs.columns
     docs = docs.dropDuplicates() if not {k.split("<")[0] for _, k in docs.dtypes} & {"map", "variant"} else docs
     some = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    found = grouped(written(fingerprints(docs.where(some), 5, WIDE_WORDS), "simhash"), WIDE_WITHIN, pairs=False)
+    found = similar(docs.where(some))
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.where(some).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
     return kept.unionByName(docs.where(~some)).select(*cols)

@@ -91,6 +91,29 @@ def test_stage_keeps_one_of_each_group(spark):
     assert len(kept) == len(set(kept)) and {group[d] for d in kept} == set(range(60)) and len(kept) <= 63
 
 
+def test_similar_texts_against_brute_force(spark, sf):
+    """Every text that goes shares 0.8 of its shingles with one of its group, and of all such pairs few are missed."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    shingles = {}
+    for r in docs.collect():
+        words = (r.text or "").lower().split()
+        shingles[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else None
+    ids = sorted(d for d, s in shingles.items() if s)
+    pairs = [(a, b) for a in ids for b in ids if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    near = set(pairs)
+    comp = joined(ids, lambda a, b: (a, b) in near)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs.where("length(trim(text)) > 0")).collect()}
+    assert set(got) == set(ids) and all(comp[d] == comp[c] for d, c in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 0
+
+
+def test_settled_edges():
+    e = [np.array(z) for z in ([1, 2, 1, 5, 3, 6, 6], [2, 3, 3, 1, 6, 3, 7], [True, True, False, False, False, False, False])]
+    a, b, near = simhash.settled(*e)
+    got = {(frozenset((x, y)), bool(n)) for x, y, n in zip(a.tolist(), b.tolist(), near, strict=True)}
+    assert len(a) == 5 and got >= {(frozenset((1, 5)), False), (frozenset((3, 6)), False), (frozenset((6, 7)), False)} and near.sum() == 2
+
+
 def test_odd_and_empty(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicated(none).count() == 0
     kept = simhash.deduplicated(odd)
