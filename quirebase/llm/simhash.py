@@ -149,49 +149,39 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges a-b as (node, root) rows."""
+def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the edges a-b of least distances: of two sets of edges, that of both is that of their forests'."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), apart))
+    a, b, apart = a[order], b[order], apart[order]
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
+    at, chosen, own = np.arange(len(a)), np.zeros(len(a), bool), np.arange(len(nodes))
     while True:
-        rx, ry = root[x], root[y]
-        if (rx == ry).all():
-            break
-        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-        while (root != root[root]).any():
-            root = root[root]
-    own = root != np.arange(len(nodes))
-    return nodes[own], nodes[root[own]]
-
-
-def settled(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges a-b: the near ones as a spanning forest, the others once each, if the forest doesn't join their ends already."""
-    node, root = forest(a[near], b[near])
-    x, y = np.minimum(a[~near], b[~near]), np.maximum(a[~near], b[~near])
-    if len(x):
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        x, y = x[fresh], y[fresh]
-        if len(node):
-            ends = []
-            for z in (x, y):
-                at = np.minimum(np.searchsorted(node, z), len(node) - 1)
-                ends.append(np.where(node[at] == z, root[at], z))
-            x, y = x[ends[0] != ends[1]], y[ends[0] != ends[1]]
-    return np.concatenate([node, x]), np.concatenate([root, y]), np.arange(len(node) + len(x)) < len(node)
+        live = x != y
+        if not live.any():
+            return a[chosen], b[chosen], apart[chosen]
+        x, y, at = x[live], y[live], at[live]
+        first = np.full(len(nodes), len(a))  # of each part: its nearest edge out
+        np.minimum.at(first, x, at)
+        np.minimum.at(first, y, at)
+        best = np.unique(first[first < len(a)])
+        chosen[best] = True
+        here = np.searchsorted(at, best)
+        u, v = x[here], y[here]
+        root = own.copy()
+        while (root[u] != root[v]).any():
+            np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+            while (root != root[root]).any():
+                root = root[root]
+        x, y = root[x], root[y]
 
 
 Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
-    """Rows (key, id, fp) -> edges (a, b, near) between pairs of equal key at most `within` bits apart.
-
-    Edges of at most `sure` bits (near; all of them, unless given) come as a spanning forest, the others pair by pair.
-    """
-    sure = within if sure is None else sure
+def links(keys: DataFrame, within: int) -> DataFrame:
+    """Rows (key, id, fp) -> edges (a, b, apart) between pairs of equal key at most `within` bits apart: in each task,
+    the spanning forest of least distances, so that no more edges leave it than it read rows."""
 
     def one(fp: np.ndarray, ids: np.ndarray) -> Iterator[Edges]:
         """All rows are of one key, and too many for the shifted comparison."""
@@ -202,7 +192,7 @@ def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
                 keep = x + i < y + j
                 x, y = x[keep], y[keep]
                 if len(x):
-                    yield ids[x + i], ids[y + j], apart[x, y] <= sure
+                    yield ids[x + i], ids[y + j], apart[x, y]
 
     def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[Edges]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -216,7 +206,7 @@ def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
             apart = _apart(fp[at], fp[at + shift])
             close = apart <= within
             if close.any():
-                yield ids[at[close]], ids[at[close] + shift], apart[close] <= sure
+                yield ids[at[close]], ids[at[close] + shift], apart[close]
             shift += 1
             at = at[left[at] >= shift]
 
@@ -227,13 +217,13 @@ def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
             held.append(part)
             size += len(part[0])
             if size > PAIRS:
-                held = [settled(*(np.concatenate(z) for z in zip(*held, strict=True)))]
+                held = [forest(*(np.concatenate(z) for z in zip(*held, strict=True)))]
                 size = len(held[0][0])
                 if size > PAIRS // 2:
-                    yield pa.record_batch([pa.array(z) for z in held[0]], ["a", "b", "near"])
+                    yield pa.record_batch([pa.array(z) for z in held[0]], ["a", "b", "apart"])
                     held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(z) for z in settled(*(np.concatenate(z) for z in zip(*held, strict=True)))], ["a", "b", "near"])
+            yield pa.record_batch([pa.array(z) for z in forest(*(np.concatenate(z) for z in zip(*held, strict=True)))], ["a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -257,7 +247,7 @@ def links(keys: DataFrame, within: int, sure: int | None = None) -> DataFrame:
         if held:
             yield from flush(True)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, near boolean")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, apart long")
 
 
 def merged(prints: DataFrame) -> DataFrame:
@@ -320,13 +310,14 @@ def similar(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, component_id): components of texts that share 0.8 of their five-word shingles.
 
     Wide fingerprints that meet by a key are linked at once where they are all but equal; a pair in doubt is linked
-    if its whole texts are similar, and not looked at where sure links join it already.
+    if its whole texts are similar. Of the pairs in doubt, those are looked at that join texts no shorter chain of a
+    task's pairs joins: as many as there are texts, not as there are pairs in a group.
     """
     prints = written(fingerprints(docs, 5, WIDE_WORDS), "simhash")
     nodes = merged(prints)
-    edges = written(links(keyed(nodes.select("id", "fp"), False), WIDE_WITHIN, WIDE_SURE), "links")
-    label = components(edges.where("near").select("a", "b"))
-    doubt = edges.where("not near").select("a", "b").distinct()
+    edges = written(links(keyed(nodes.select("id", "fp"), False), WIDE_WITHIN), "links")
+    label = components(edges.where(F.col("apart") <= WIDE_SURE).select("a", "b"))
+    doubt = edges.where(F.col("apart") > WIDE_SURE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         doubt = doubt.join(label.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
     doubt = written(doubt.where("la <> lb").select("a", "b", "la", "lb"), "doubt")

@@ -107,11 +107,26 @@ def test_similar_texts_against_brute_force(spark, sf):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 0
 
 
-def test_settled_edges():
-    e = [np.array(z) for z in ([1, 2, 1, 5, 3, 6, 6], [2, 3, 3, 1, 6, 3, 7], [True, True, False, False, False, False, False])]
-    a, b, near = simhash.settled(*e)
-    got = {(frozenset((x, y)), bool(n)) for x, y, n in zip(a.tolist(), b.tolist(), near, strict=True)}
-    assert len(a) == 5 and got >= {(frozenset((1, 5)), False), (frozenset((3, 6)), False), (frozenset((6, 7)), False)} and near.sum() == 2
+def test_least_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n, m = rng.integers(2, 30), rng.integers(1, 120)
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        root, want, count = list(range(n)), 0, 0
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for d, x, y in sorted(zip(w.tolist(), a.tolist(), b.tolist(), strict=True)):
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                want, count = want + d, count + 1
+        x, y, d = simhash.forest(a, b, w)
+        assert len(x) == count and d.sum() == want
+        assert {(i, j, k) for i, j, k in zip(x, y, d, strict=True)} <= {(i, j, k) for i, j, k in zip(a, b, w, strict=True)}
+    assert [len(z) for z in simhash.forest(*(np.zeros(0, np.int64) for _ in range(3)))] == [0, 0, 0]
 
 
 def test_odd_and_empty(odd, none):
