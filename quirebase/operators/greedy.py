@@ -1,52 +1,33 @@
-"""Order-dependent operators: greedy suppression per page, merging to a fixpoint, the sentence scanner.
-
-Groups are pages (or documents), which are small; each is one call of a pandas function.
-"""
+"""Order-dependent operators that no plan states: merging boxes to a fixpoint, the sentence scanner."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def overlap(a, b) -> tuple[float, float]:
-    """(larger of IoU and share of the smaller box, IoU)."""
-    w, h = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
-    if w <= 0 or h <= 0:
-        return 0.0, 0.0
-    one, two = (a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)
-    iou = w * h / (one + two - w * h)
-    return max(iou, w * h / min(one, two)), iou
-
-
-def suppressed(boxes: DataFrame, key: str, limit: float, by_area: bool) -> DataFrame:
-    """boxes (page, det, cls, conf, x1, y1, x2, y2): per page and class, greedy. Adds kept and the keeper of removed ones.
+def by_group(df: DataFrame, key: str, run: Callable[[object, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """run(key, rows) over groups of rows, many groups in each call of a worker; one group is held at a time."""
 
-    by_area: larger boxes first, then confidence, the overlap ratio decides (duplicate removal); else confidence first
-    and IoU decides (NMS).
-    """
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        rows = (r for pdf in parts for r in pdf.itertuples(index=False))
+        out = (o for k, group in groupby(rows, key=lambda r: getattr(r, key)) for o in run(k, list(group)))
+        while some := list(islice(out, 10_000)):
+            yield pd.DataFrame(some, columns=names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(area=(pdf.x2 - pdf.x1) * (pdf.y2 - pdf.y1))
-        pdf = pdf.sort_values(["area", "conf", "det"] if by_area else ["conf", "det"], ascending=[False, False, True] if by_area else [False, True])
-        kept, out = [], []
-        for b in pdf.itertuples():
-            hit = next(((k, overlap(b, k)) for k in kept if overlap(b, k)[0 if by_area else 1] >= limit), None)
-            if hit is None:
-                kept.append(b)
-            out.append((b.page, b.det, b.cls, hit is None, hit[0].det if hit else None, hit[1][0] if hit else None, hit[1][1] if hit else None))
-        return pd.DataFrame(out, columns=["page", "det", "cls", "kept", "keeper", "ratio", "iou"]).astype({"keeper": "Int32"})
-
-    return boxes.groupBy("page", "cls").applyInPandas(run, "page long, det int, cls int, kept boolean, keeper int, ratio double, iou double")
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(stream, schema)
 
 
 def merged(boxes: DataFrame, gap: float) -> DataFrame:
     """Boxes that touch (padded by gap) are merged until none do: rows (page, x1, y1, x2, y2)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rects = [list(r) for r in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False)]
+    def run(page, rows: list) -> Iterator[tuple]:
+        rects = [[r.x1, r.y1, r.x2, r.y2] for r in rows]
         changed = True
         while changed:
             changed, out = False, []
@@ -59,48 +40,47 @@ def merged(boxes: DataFrame, gap: float) -> DataFrame:
                 else:
                     out.append(list(r))
             rects = out
-        return pd.DataFrame([(pdf.page.iloc[0], *r) for r in sorted(rects)], columns=["page", "x1", "y1", "x2", "y2"])
+        return ((page, *r) for r in sorted(rects))
+
+    return by_group(boxes.select("page", "x1", "y1", "x2", "y2"), "page", run, "page long, x1 double, y1 double, x2 double, y2 double")
+
 
-    return boxes.groupBy("page").applyInPandas(run, "page long, x1 double, y1 double, x2 double, y2 double")
+#: Words before a numeral whose full stop ends no sentence, titles before a name, marks that may open a sentence.
+NUMBERED = set("fig figs eq eqs sec sect ref refs no nos tab tabs ch chaps app pp vol vols approx et al dept univ".split())
+TITLES = set("dr prof mr mrs ms st mt fr jr sr rev gen col lt capt sgt adm rep sen gov corp inc ltd co".split())
+OPENERS = "\"'“’("
+#: An ideographic full stop by itself, or a run of stops with the closers after it.
+_STOP = re.compile(r"([。！？．])|[.!?][.!?…]*[)\]}”’»\"']*")
+_LAST = re.compile(r"[A-Za-z]+$")
 
 
-#: Terminals, closers that belong to the sentence, and words whose full stop ends none.
-END, CJK_END, CLOSERS = ".!?", "。！？", "\"')]}”’»"
-NUMBERED = {"fig", "figs", "eq", "eqs", "sec", "tab", "ref", "refs", "no", "vol", "pp", "p"}
-TITLES = {"dr", "mr", "mrs", "ms", "prof", "st"}
-_WORD = re.compile(r"(\w+)$")
+def _opens(text: str, stop: int, after: int) -> bool:
+    """Whether the character at `after` opens a sentence, the stop being at `stop`."""
+    c = text[after]
+    if not (c.isupper() or c.isdigit() or c in OPENERS):
+        return False
+    if stop and text[stop - 1].isdigit() and c.isdigit():
+        return False
+    end = stop
+    while end and text[end - 1].isspace():
+        end -= 1
+    word = _LAST.search(text[max(0, end - 12) : end])
+    last = word.group().lower() if word else ""
+    return not (last in TITLES or last in NUMBERED and c.isdigit())
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Intervals [a, b) that cover the text, one for each sentence."""
-    out, start, i, n = [], 0, 0, len(text)
-    while i < n:
-        c = text[i]
-        i += 1
-        if c in CJK_END:
-            while i < n and text[i] in CJK_END + CLOSERS:
-                i += 1
-        elif c in END:
-            stop = i - 1
-            while i < n and text[i] in END + CLOSERS:
-                i += 1
-            after = i
-            while after < n and text[after].isspace():
+    """Intervals [a, b) that cover the text, one for each sentence; blanks after a stop begin the next."""
+    cuts = [0]
+    for m in _STOP.finditer(text):
+        after = m.end()
+        if not m.group(1):
+            while after < len(text) and text[after].isspace():
                 after += 1
-            if after == i and after < n or after < n and not (text[after].isupper() or text[after].isdigit() or text[after] in "\"'“‘(["):
+            if after < len(text) and not _opens(text, m.start(), after):
                 continue
-            word = _WORD.search(text, max(0, stop - 20), stop)
-            last = word.group(1).lower() if word else ""
-            if c == "." and after < n and (last in TITLES or last in NUMBERED and text[after].isdigit() or text[:stop].endswith("et al")):
-                continue
-            i = after
-        else:
-            continue
-        out.append((start, i))
-        start = i
-    if start < n:
-        out.append((start, n))
-    return out
+        cuts.append(m.end())
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if a < b]
 
 
 def split_sentences(blocks: DataFrame) -> DataFrame:
@@ -112,16 +92,3 @@ def split_sentences(blocks: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "at", "start", "stop"])
 
     return blocks.select("doc_id", "text").mapInPandas(run, "doc_id long, at int, start int, stop int")
-
-
-def distinct_formulas(boxes: DataFrame, near: float) -> DataFrame:
-    """Of boxes of one class on a page whose centres lie within `near` in both axes of an earlier kept one, the first stays."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for b in pdf.sort_values(["y1", "x1", "det"]).itertuples():
-            if not any(abs(b.x1 - k.x1) <= near and abs(b.y1 - k.y1) <= near for k in kept):
-                kept.append(b)
-        return pd.DataFrame([(b.page, b.det, b.cls) for b in kept], columns=["page", "det", "cls"])
-
-    return boxes.groupBy("page", "cls").applyInPandas(run, "page long, det int, cls int")

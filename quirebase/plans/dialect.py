@@ -47,6 +47,31 @@ class Dialect:
     def ints(self, a: str, b: str) -> str:
         return f"explode(sequence({a}, {b}))" if self.spark else f"unnest(range({a}, {b} + 1))"
 
+    def array(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
+    def at(self, a: str, i: int) -> str:
+        """Element i, from 0."""
+        return f"{a}[{i if self.spark else i + 1}]"
+
+    def ranked(self, order: list[str], item: str) -> str:
+        """Aggregate: lists of one item each, in order."""
+        if self.spark:
+            return f"transform(array_sort(collect_list(struct({', '.join(f'{o} AS o{i}' for i, o in enumerate(order))}, {item} AS item))), s -> array(s.item))"
+        return f"list([{item}] ORDER BY {', '.join(order)})"
+
+    def fold(self, a: str, f: str) -> str:
+        """f of acc and e over a list, acc being its first element at first."""
+        return f"aggregate({a}, {a}[0], (acc, e) -> {f})" if self.spark else f"list_reduce({a}, lambda acc, e: {f})"
+
+    def spread(self, cols: str, a: str, src: str) -> str:
+        if self.spark:
+            return f"SELECT {cols}, pos, b FROM {src} LATERAL VIEW posexplode({a}) v AS pos, b"
+        return f"SELECT {cols}, CAST(unnest(range(len({a}))) AS INTEGER) AS pos, unnest({a}) AS b FROM {src}"
+
+    def sha256(self, s: str) -> str:
+        return f"sha2({s}, 256)" if self.spark else f"sha256({s})"
+
     def lines(self, src: str = "documents") -> str:
         """v_blocks: each line of a document as a layout block (id, order, text, geometry by modulo)."""
         tail = "CAST(10 AS DOUBLE) AS x, CAST(blk * 12 AS DOUBLE) AS y, CAST(200 + (doc_id * 7 + blk * 13) % 300 AS DOUBLE) AS w, CAST(10 + (doc_id + blk) % 9 AS DOUBLE) AS h"

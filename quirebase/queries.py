@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import greedy
+from .plans import rules  # noqa: F401  its plans register themselves
 from .plans.catalog import PLANS
 from .plans.dialect import DUCK, SPARK
 from .plans.views import BOXES
@@ -32,26 +33,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def a01_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.suppressed(boxes(spark, sf_dir), "page", 0.5, True)
-
-
-def a02_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.suppressed(boxes(spark, sf_dir), "page", 0.45, False)
-
-
 def a15_merged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.merged(boxes(spark, sf_dir), 1.0)
 
 
-def a39_distinct_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.distinct_formulas(boxes(spark, sf_dir), 12.0)
-
-
 def x01_x02_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.split_sentences(table(spark, sf_dir, "documents"))
 
 
-GREEDY = (a01_duplicate_suppression, a02_nms, a15_merged_rects, a39_distinct_formulas, x01_x02_sentences)
+GREEDY = (a15_merged_rects, x01_x02_sentences)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in GREEDY}
 ORACLES: dict[str, str] = {name: p(DUCK) for name, p in PLANS.items()}
