@@ -19,3 +19,12 @@ CITES = """entries AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITIO
 body AS (SELECT c_custkey AS doc, c_custkey % 4 AS blk, 'as shown [' || CAST(1 + c_custkey % 7 AS VARCHAR(20)) || ', ' || CAST(2 + c_custkey % 5 AS VARCHAR(20)) || '-' || CAST(4 + c_custkey % 9 AS VARCHAR(20)) || '] and [' || CAST(1 + c_custkey % 30 AS VARCHAR(20)) || ']' AS text FROM customer)"""
 
 TRACKS = """frames AS (SELECT event_id, user_id AS track, ts, event_type AS cls, value, CAST(substring(props, 7, length(props) - 7) AS INTEGER) AS k FROM events)"""
+
+#: Text runs of lines, five parts each: font by modulo, some text blank, raised flag in bit 0 of the size.
+RUNS = """runs AS (SELECT CAST(floor(p_partkey / 5) AS BIGINT) AS line, p_partkey AS run, CASE p_partkey % 13 WHEN 0 THEN 'ABCDEF+CMMI10' WHEN 1 THEN 'Times-Roman' WHEN 2 THEN 'XYZABC+CMR7' WHEN 3 THEN 'Courier New' WHEN 4 THEN 'Arial,Bold'
+ WHEN 5 THEN 'CMSY10' WHEN 6 THEN 'NotoSansSC' WHEN 7 THEN 'QWERTY+Cambria Math' WHEN 8 THEN NULL WHEN 9 THEN 'Symbol' WHEN 10 THEN 'STIXGeneral' WHEN 11 THEN 'CMBX12' ELSE '' END AS font,
+ p_size AS size, p_partkey % 3 = 0 AS weak_on, p_partkey % 2 = 0 AS cm_on, CASE WHEN p_partkey % 9 = 4 THEN '  ' ELSE p_name END AS t, CAST(p_partkey * 7 % 90 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS w FROM part)"""
+
+#: Recognised text with and without formulas; § stands for the backslash, which the engines' literals treat differently.
+FORMULAS = """formulas AS (SELECT p_partkey AS item, p_size AS n, p_name AS name, CASE p_partkey % 14 WHEN 0 THEN '§[ a_1 + b §]' WHEN 1 THEN 'rate of §(x^2§) and §( y §) here' WHEN 2 THEN '$$E = mc^2$$' WHEN 3 THEN ' $ 5 $ ' WHEN 4 THEN 'E = §sum_{i=1}^{n} x_i'
+ WHEN 5 THEN '§frac 12 §alpha' WHEN 6 THEN '§frac 12' WHEN 7 THEN 'a = b §qquad (12a)' WHEN 8 THEN '§quad (3)' WHEN 9 THEN 'x + y     （4） ' WHEN 10 THEN '' WHEN 11 THEN NULL WHEN 12 THEN 'costs $3 and $x_1$ more' ELSE p_name END AS raw FROM part)"""

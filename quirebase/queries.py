@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import greedy
-from .plans import rules  # noqa: F401  its plans register themselves
+from .plans import glyphs, rules  # noqa: F401  their plans register themselves
 from .plans.catalog import PLANS
 from .plans.dialect import DUCK, SPARK
 from .plans.views import BOXES
