@@ -319,3 +319,35 @@ def s28_split(d: Dialect) -> str:
     """Items to train and validation by a hash of their key: nine tenths and one."""
     part = f"{'conv(substring(md5(CAST(p_partkey AS STRING)), 1, 8), 16, 10)' if d.spark else chr(39) + '0x' + chr(39) + ' || substring(md5(CAST(p_partkey AS VARCHAR)), 1, 8)'}"
     return f"SELECT p_partkey, CASE WHEN CAST({part} AS BIGINT) % 10 < 9 THEN 'train' ELSE 'val' END AS part FROM part"
+
+
+# --- batches and pages -------------------------------------------------------------------------------------------------
+
+
+@plan
+def m03_fan_in(d: Dialect) -> str:
+    """Results joined to their items; what has none, or an error, counts as failed."""
+    return f"""WITH {BOXES}, results AS (SELECT page, det, cls, max(CASE WHEN det % 5 = 0 THEN 'timeout' END) AS error FROM boxes WHERE det % 3 > 0 GROUP BY page, det, cls)
+SELECT b.page, count(*) AS items, count(CASE WHEN r.page IS NOT NULL AND r.error IS NULL THEN 1 END) AS done, count(CASE WHEN r.page IS NULL OR r.error IS NOT NULL THEN 1 END) AS failed
+FROM boxes b LEFT JOIN results r ON b.page = r.page AND b.det = r.det AND b.cls = r.cls WHERE b.cls < 3 GROUP BY b.page"""
+
+
+@plan
+def z02_enriched_pages(d: Dialect) -> str:
+    """Pages with the formula boxes found for them; pages without any stay, with a warning."""
+    return f"""WITH {BOXES}, pages_ AS (SELECT DISTINCT page FROM boxes), found AS (SELECT page, count(*) AS formulas FROM boxes WHERE cls < 2 AND conf > 0.5e0 GROUP BY page)
+SELECT p.page, coalesce(f.formulas, 0) AS formulas, CASE WHEN f.page IS NULL THEN 'not enriched' END AS warning FROM pages_ p LEFT JOIN found f ON p.page = f.page"""
+
+
+@plan
+def s34_upload_rows(d: Dialect) -> str:
+    """A record and its first status for each upload that has a page and text; the others are refused with the reason."""
+    return f"""WITH p AS (SELECT doc_id, source, coalesce(length(trim(text)), 0) AS chars, CAST(floor(coalesce(length(text), 0) / 100e0) AS INTEGER) AS pages_n FROM documents)
+SELECT doc_id, CASE WHEN pages_n < 1 THEN 'no pages' WHEN chars = 0 THEN 'no content' END AS refused, CASE WHEN pages_n > 0 AND chars > 0 THEN 'unread' END AS status, CASE WHEN pages_n > 0 AND chars > 0 THEN 0e0 END AS progress FROM p"""
+
+
+@plan
+def s30_raster_places(d: Dialect) -> str:
+    """One image per rounded box, of those the one of most pixels, coloured before grey; slivers and whole pages go."""
+    return f"""WITH {BOXES}, p AS (SELECT page, det, round(x1, 1) AS x, round(y1, 1) AS y, w, h, CAST(w * h AS BIGINT) AS pixels, cls % 2 AS colour, conf FROM boxes WHERE w >= 3 AND h >= 3 AND w * h <= 0.97e0 * 100 * 100),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, x, y ORDER BY pixels DESC, colour DESC, det, conf) AS place FROM p) SELECT page, det, x, y, pixels, colour FROM r WHERE place = 1"""

@@ -7,12 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import greedy
+from .operators import greedy, markup, rows
 from .plans import glyphs, rules  # noqa: F401  their plans register themselves
 from .plans.catalog import PLANS
 from .plans.dialect import DUCK, SPARK
 from .plans.views import BOXES
 from .session import TABLES, table
+from .streaming import tracker
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -41,6 +42,48 @@ def x01_x02_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.split_sentences(table(spark, sf_dir, "documents"))
 
 
-GREEDY = (a15_merged_rects, x01_x02_sentences)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in GREEDY}
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as text pieces: blocks by class, every fourth one blanked glyphs, some several lines high; classes 4 and 5 are links."""
+    return boxes(spark, sf_dir).selectExpr("*", "cls AS block", "det % 4 = 0 AS blank", "CASE WHEN det = 7 THEN '(12)' ELSE 'text' END AS text", "h > 30 AS several", "cls > 3 AS is_link")
+
+
+def a17_clustered_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.clustered(boxes(spark, sf_dir))
+
+
+def a18_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.corridors(boxes(spark, sf_dir))
+
+
+def j09_uri_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.claimed(pieces(spark, sf_dir))
+
+
+def j15_j16_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.grouped(pieces(spark, sf_dir))
+
+
+def j21_x61_column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.spaced(pieces(spark, sf_dir))
+
+
+def w27_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.settled(boxes(spark, sf_dir))
+
+
+def x12_markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.texts(table(spark, sf_dir, "pages"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the frames of 64 streams."""
+    return boxes(spark, sf_dir).selectExpr("page % 64 AS stream", "page AS frame", "det", "x1", "y1", "x2", "y2", "conf")
+
+
+def m14_m15_m18_m19_m20_u08_j25_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.tracked(frames(spark, sf_dir))
+
+
+ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, j09_uri_claims, j15_j16_row_groups, j21_x61_column_gaps, w27_settled, x01_x02_sentences, x12_markup_text, m14_m15_m18_m19_m20_u08_j25_tracks)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in ORDERED}
 ORACLES: dict[str, str] = {name: p(DUCK) for name, p in PLANS.items()}
