@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .catalog import PAIRS, plan
 from .dialect import Dialect
-from .views import BOXES, FORMULAS, RUNS
+from .views import BOXES, CITES, FORMULAS, RUNS
 
 V = "VARCHAR(20)"
 
@@ -351,3 +351,36 @@ def s30_raster_places(d: Dialect) -> str:
     """One image per rounded box, of those the one of most pixels, coloured before grey; slivers and whole pages go."""
     return f"""WITH {BOXES}, p AS (SELECT page, det, round(x1, 1) AS x, round(y1, 1) AS y, w, h, CAST(w * h AS BIGINT) AS pixels, cls % 2 AS colour, conf FROM boxes WHERE w >= 3 AND h >= 3 AND w * h <= 0.97e0 * 100 * 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY page, x, y ORDER BY pixels DESC, colour DESC, det, conf) AS place FROM p) SELECT page, det, x, y, pixels, colour FROM r WHERE place = 1"""
+
+
+@plan
+def j07_goto_citations(d: Dialect) -> str:
+    """Links to a bibliography entry at the first token of their block that names it: all known numbers of the token, and the entry; once a token."""
+    lo, hi = "CAST(regexp_extract(t, '^([0-9]+)', 1) AS INTEGER)", "CAST(coalesce(nullif(regexp_extract(t, '-([0-9]+)$', 1), ''), regexp_extract(t, '^([0-9]+)', 1)) AS INTEGER)"
+    return f"""WITH {CITES}, toks AS (SELECT doc, blk, text, {'explode' if d.spark else 'unnest'}({d.found('text', '[0-9]+(-[0-9]+)?')}) AS t FROM body), spans AS (SELECT DISTINCT doc, blk, instr(text, t) AS start, t, {lo} AS a, {hi} AS b FROM toks),
+nums AS (SELECT doc, blk, start, t, {d.ints('a', 'greatest(a, b)')} AS n FROM spans), links AS (SELECT doc, n, entry FROM entries WHERE entry % 3 = 0),
+hit AS (SELECT l.doc, l.n AS target, s.start, row_number() OVER (PARTITION BY l.doc, l.n ORDER BY s.start, s.t) AS place, s.t FROM links l JOIN nums s ON l.doc = s.doc AND l.n = s.n),
+used AS (SELECT DISTINCT doc, start, t FROM hit WHERE place = 1)
+SELECT DISTINCT u.doc, CAST(u.start AS INTEGER) AS start, u.t AS token, CAST(e.n AS INTEGER) AS n, e.entry FROM used u JOIN nums x ON u.doc = x.doc AND u.start = x.start AND u.t = x.t JOIN entries e ON e.doc = x.doc AND e.n = x.n"""
+
+
+@plan
+def x32_synthetic_layout(d: Dialect) -> str:
+    """Plain text laid out from the top: lines as high as the page allows, paragraphs (here of five lines) a gap apart."""
+    return f"""WITH l AS (SELECT doc_id, blk, CAST(floor(blk / 5) AS INTEGER) AS para, trim(text) AS t FROM ({d.lines()}) q WHERE trim(text) <> ''),
+n AS (SELECT doc_id, blk, para, t, least(28e0, greatest(9e0, 720e0 / count(*) OVER (PARTITION BY doc_id))) AS lh, row_number() OVER (PARTITION BY doc_id ORDER BY blk) - 1 AS k, dense_rank() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS p FROM l)
+SELECT doc_id, blk, round(36e0 + k * lh + p * least(lh * 0.6e0, 12e0), 4) AS y, round(lh, 4) AS h, greatest(6e0, least(14e0, round(lh * 0.78e0, 1))) AS size FROM n"""
+
+
+@plan
+def x38_cleaned_summary(d: Dialect) -> str:
+    """A model's summary within bounds: 1,500 characters of overview, eight items of 300; blank ones go."""
+    return f"""WITH i AS (SELECT doc_id, blk, substring(trim(text), 1, 300) AS item FROM ({d.lines()}) q WHERE trim(text) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY blk) AS k FROM i)
+SELECT d.doc_id, substring(trim(coalesce(d.text, '')), 1, 1500) AS overview, r.k, r.item FROM documents d JOIN r ON d.doc_id = r.doc_id WHERE r.k <= 8"""
+
+
+@plan
+def f32_formula_lines(d: Dialect) -> str:
+    """Lines that are formulas alone: without math runs nothing is left but marks, or nine tenths are math and the rest has an operator."""
+    return f"""WITH {leveled(d)}, l AS (SELECT line, {d.glue("CASE WHEN level > 0 THEN '' ELSE t END", "''", 'run')} AS rest, sum(CASE WHEN level > 0 THEN length(trim(t)) ELSE 0 END) AS covered, length(trim({d.glue('t', "''", 'run')})) AS n, max(level) AS top FROM f GROUP BY line)
+SELECT line, top > 0 AND (NOT {d.rx('rest', '[0-9A-Za-z]')} OR covered >= 0.9e0 * greatest(1, n) AND {d.rx('rest', '[=+^_/()]')}) AS formula FROM l"""

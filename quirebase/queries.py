@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import greedy, markup, rows
+from .operators import formulas, greedy, markup, rows
 from .plans import glyphs, rules  # noqa: F401  their plans register themselves
 from .plans.catalog import PLANS
 from .plans.dialect import DUCK, SPARK
-from .plans.views import BOXES
+from .plans.views import BOXES, FORMULAS
 from .session import TABLES, table
 from .streaming import tracker
 
@@ -84,6 +84,33 @@ def m14_m15_m18_m19_m20_u08_j25_tracks(spark: SparkSession, sf_dir: str) -> Data
     return tracker.tracked(frames(spark, sf_dir))
 
 
-ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, j09_uri_claims, j15_j16_row_groups, j21_x61_column_gaps, w27_settled, x01_x02_sentences, x12_markup_text, m14_m15_m18_m19_m20_u08_j25_tracks)
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised text (item, text), with backslashes."""
+    sql = f"WITH {FORMULAS} SELECT item, replace(raw, '§', chr(92)) AS text FROM formulas"
+    views(spark, sf_dir, sql)
+    return spark.sql(sql)
+
+
+def x16_marked_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.marked_texts(recognised(spark, sf_dir))
+
+
+def x19_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.text_lines(recognised(spark, sf_dir))
+
+
+def x33_folded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.folded_texts(recognised(spark, sf_dir), 120.0, 60.0)
+
+
+def x47_aligned_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.aligned_texts(recognised(spark, sf_dir))
+
+
+def x48_split_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.split_texts(recognised(spark, sf_dir))
+
+
+ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, j09_uri_claims, j15_j16_row_groups, j21_x61_column_gaps, w27_settled, x01_x02_sentences, x12_markup_text, x16_marked_formulas, x19_text_lines, x33_folded_boxes, x47_aligned_formulas, x48_split_formulas, m14_m15_m18_m19_m20_u08_j25_tracks)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in ORDERED}
 ORACLES: dict[str, str] = {name: p(DUCK) for name, p in PLANS.items()}
