@@ -384,3 +384,19 @@ def f32_formula_lines(d: Dialect) -> str:
     """Lines that are formulas alone: without math runs nothing is left but marks, or nine tenths are math and the rest has an operator."""
     return f"""WITH {leveled(d)}, l AS (SELECT line, {d.glue("CASE WHEN level > 0 THEN '' ELSE t END", "''", 'run')} AS rest, sum(CASE WHEN level > 0 THEN length(trim(t)) ELSE 0 END) AS covered, length(trim({d.glue('t', "''", 'run')})) AS n, max(level) AS top FROM f GROUP BY line)
 SELECT line, top > 0 AND (NOT {d.rx('rest', '[0-9A-Za-z]')} OR covered >= 0.9e0 * greatest(1, n) AND {d.rx('rest', '[=+^_/()]')}) AS formula FROM l"""
+
+
+@plan
+def j18_passengers(d: Dialect) -> str:
+    """Blanked lines (here every fourth) ride on the nearest line above, else on the nearest below; half a height may overlap."""
+    up, down = "b.y2 <= a.y1 + 0.5e0 * a.h", "a.y2 <= b.y1 + 0.5e0 * b.h"
+    return f"""WITH {BOXES}, m AS (SELECT a.page, a.det, a.cls, a.conf, b.det AS host, row_number() OVER (PARTITION BY a.page, a.det, a.cls, a.conf, a.x1, a.y1 ORDER BY CASE WHEN {up} THEN 0 ELSE 1 END, abs(CASE WHEN {up} THEN a.y1 - b.y2 ELSE b.y1 - a.y2 END), b.det) AS place
+FROM boxes a JOIN boxes b ON a.page = b.page AND a.det % 4 = 0 AND b.det % 4 > 0 AND ({up} OR {down})) SELECT page, det, cls, host FROM m WHERE place = 1"""
+
+
+@plan
+def j34_j36_rows_between(d: Dialect) -> str:
+    """Formula rows (classes 0 and 1) between two anchor lines (first and last of the page) whose centre lies in the gap and which share the anchors' width; jobs have six at most."""
+    return f"""WITH {BOXES}, a AS (SELECT page, min(y2) AS lo, max(y1) AS hi, min(x1) AS x_lo, max(x2) AS x_hi FROM boxes WHERE cls > 3 GROUP BY page),
+r AS (SELECT b.page, b.det, b.y1, count(*) OVER (PARTITION BY b.page) AS rows_ FROM boxes b JOIN a ON a.page = b.page AND a.hi >= a.lo AND (b.y1 + b.y2) / 2 BETWEEN a.lo - 2 AND a.hi + 2 AND b.x2 >= a.x_lo AND b.x1 <= a.x_hi WHERE b.cls < 2)
+SELECT page, det, rows_, rows_ <= 6 AS job FROM r"""

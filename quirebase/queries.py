@@ -63,6 +63,10 @@ def j15_j16_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.grouped(pieces(spark, sf_dir))
 
 
+def j17_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.flows(boxes(spark, sf_dir).selectExpr("*", "CASE det % 3 WHEN 0 THEN 'Done.' ELSE 'and so' END AS text"))
+
+
 def j21_x61_column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.spaced(pieces(spark, sf_dir))
 
@@ -111,6 +115,6 @@ def x48_split_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.split_texts(recognised(spark, sf_dir))
 
 
-ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, j09_uri_claims, j15_j16_row_groups, j21_x61_column_gaps, w27_settled, x01_x02_sentences, x12_markup_text, x16_marked_formulas, x19_text_lines, x33_folded_boxes, x47_aligned_formulas, x48_split_formulas, m14_m15_m18_m19_m20_u08_j25_tracks)
+ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, j09_uri_claims, j15_j16_row_groups, j17_flows, j21_x61_column_gaps, w27_settled, x01_x02_sentences, x12_markup_text, x16_marked_formulas, x19_text_lines, x33_folded_boxes, x47_aligned_formulas, x48_split_formulas, m14_m15_m18_m19_m20_u08_j25_tracks)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in ORDERED}
 ORACLES: dict[str, str] = {name: p(DUCK) for name, p in PLANS.items()}

@@ -60,6 +60,20 @@ def test_groups_along_rows(spark):
     assert rows.grouped(page(spark)).count() == 0
 
 
+def flow(spark, *boxes, **more):
+    return [(r.det, r.flow, r.place) for r in sorted(rows.flows(page(spark, *boxes, **more)).collect(), key=lambda r: r.det)]
+
+
+def test_flows(spark, sf):
+    a, b, c = (0, 0, 50, 10), (0, 20, 50, 30), (0, 40, 50, 50)
+    assert flow(spark, a, b, c) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+    assert flow(spark, a, b, c, b0={"text": "End."}, b2={"text": "(2)"}) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+    assert flow(spark, a, (13, 20, 50, 30), (0, 71, 50, 80)) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+    assert flow(spark, a, (5, 0, 60, 10), (2, 20, 50, 30)) == [(0, 0, 0), (1, 1, 0), (2, 0, 1)]
+    out = by_page(queries.QUERIES["j17_flows"](spark, sf))
+    assert sum(map(len, out.values())) == queries.boxes(spark, sf).count()
+
+
 def test_clusters_cover_all_boxes(spark, sf):
     regions, boxes = by_page(queries.QUERIES["a17_clustered_rects"](spark, sf)), by_page(queries.boxes(spark, sf))
     for p, bs in boxes.items():
