@@ -55,15 +55,18 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def assigned(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Pairs of least total cost where a row or column may stay alone for half the limit (shortest augmenting paths)."""
+    """Pairs of least total cost where a row or column may stay alone for half the limit (shortest augmenting paths).
+
+    The smaller side's members each take one of the other or a place of their own, at the limit.
+    """
     n, m = cost.shape
     if not n or not m:
         return []
-    full = np.full((n + m, n + m), limit / 2)
-    full[:n, :m], full[n:, m:] = cost, 0
-    size = n + m
-    u, v, row_of, way = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, int), np.zeros(size + 1, int)
-    for i in range(1, size + 1):
+    if n > m:
+        return sorted((a, b) for b, a in assigned(cost.T, limit))
+    full, size = np.c_[cost, np.full((n, n), limit)], m + n
+    u, v, row_of, way = np.zeros(n + 1), np.zeros(size + 1), np.zeros(size + 1, int), np.zeros(size + 1, int)
+    for i in range(1, n + 1):
         row_of[0], at = i, 0
         least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
         while row_of[at]:
@@ -79,7 +82,7 @@ def assigned(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
             at = nxt
         while at:
             row_of[at], at = row_of[way[at]], way[at]
-    return sorted((int(r) - 1, j) for j, r in enumerate(row_of[1 : m + 1]) if 0 < r <= n)
+    return sorted((int(r) - 1, j) for j, r in enumerate(row_of[1 : m + 1]) if r)
 
 
 @dataclass
