@@ -6,12 +6,12 @@ neighbours (five on average), so two segments that differ in at most one bit sha
 
 * 64 bits in three segments, at most 3 errors: at least two segments have at most one error each. Keys are therefore
   pairs of codewords, 24 bits for each of the three pairs of segments (`pairs=True`). No link is lost.
-* wide fingerprints, for similarity of texts: one segment with at most one error is enough (`pairs=False`). Pairs whose
-  bits leave doubt are verified on the whole texts.
+* wide fingerprints, for similarity of texts: one segment with at most one error is enough (`pairs=False`). They only
+  find candidates; every link is verified on the texts' sets of shingles.
 
 Rows of equal keys are joined by sorting; every pair of a key is verified by counting bits, and of the links that this
-settles only a spanning forest leaves a task. Texts with equal fingerprints were merged before, so a group of copies, however
-large, is one row. A key with more than BLOCK fingerprints is compared block by block in constant memory.
+settles only a spanning forest leaves a task. Texts with equal 64-bit fingerprints, or with equal sets of shingles in the
+wide case, were merged before, so a group of copies, however large, is one row. A key with more than BLOCK fingerprints is compared block by block in constant memory.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are documents of their
 own; a component whose doc_ids are all null has component_id null; an empty table gives no rows.
@@ -125,7 +125,8 @@ def _segments(fp: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
 
 
 def keyed(nodes: DataFrame, pairs: bool) -> DataFrame:
-    """nodes (id long, fp binary) -> rows (key long, id, fp): the keys by which near fingerprints meet."""
+    """nodes (id long, fp binary, further longs) -> rows (key long, id, fp, those): the keys by which near fingerprints meet."""
+    more = nodes.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -140,9 +141,9 @@ def keyed(nodes: DataFrame, pairs: bool) -> DataFrame:
                 for _, key, real in found:
                     row = np.nonzero(real)[0]
                     at = pa.array(row)
-                    yield pa.record_batch([pa.array(key[real]), batch.column(0).take(at), batch.column(1).take(at)], ["key", "id", "fp"])
+                    yield pa.record_batch([pa.array(key[real]), *(c.take(at) for c in batch.columns)], ["key", "id", "fp", *more])
 
-    return nodes.mapInArrow(run, "key long, id long, fp binary")
+    return nodes.mapInArrow(run, "key long, id long, fp binary" + "".join(f", {c} long" for c in more))
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,34 +180,50 @@ def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray,
 Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def links(keys: DataFrame, within: int) -> DataFrame:
+def links(keys: DataFrame, within: int, every: bool = False) -> DataFrame:
     """Rows (key, id, fp) -> edges (a, b, apart) between pairs of equal key at most `within` bits apart: in each task,
-    the spanning forest of least distances, so that no more edges leave it than it read rows."""
+    the spanning forest of least distances, so that no more edges leave it than it read rows. For links that the bits settle.
 
-    def one(fp: np.ndarray, ids: np.ndarray) -> Iterator[Edges]:
+    With a column n, sizes of sets of shingles, pairs whose sizes alone exclude the similarity are no edges; with a column
+    label pairs of equal label are none. With `every` all edges come out, a pair as often as it shares keys.
+    """
+    more = keys.columns[3:]
+    sized, labelled = "n" in more, "label" in more
+
+    def one(fp: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[Edges]:
         """All rows are of one key, and too many for the shifted comparison."""
         for i in range(0, len(fp), BLOCK):
             for j in range(i, len(fp), BLOCK):
+                if sized and n[min(i + BLOCK, len(n)) - 1] / max(1, n[j]) < SIMILAR:
+                    break  # by size: nothing here or later is near this block in size
                 apart = _apart(fp[i : i + BLOCK, None], fp[None, j : j + BLOCK])
                 x, y = np.nonzero(apart <= within)
                 keep = x + i < y + j
+                if sized:
+                    keep &= n[x + i] / np.maximum(1, n[y + j]) >= SIMILAR
+                if labelled:
+                    keep &= label[x + i] != label[y + j]
                 x, y = x[keep], y[keep]
                 if len(x):
                     yield ids[x + i], ids[y + j], apart[x, y]
 
-    def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[Edges]:
+    def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[Edges]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         count = np.diff(edge)
         for r in np.flatnonzero(count > BLOCK):
-            yield from one(fp[edge[r] : edge[r + 1]], ids[edge[r] : edge[r + 1]])
+            part = slice(edge[r], edge[r + 1])
+            yield from one(fp[part], ids[part], n[part], label[part])
         left = np.repeat(edge[1:], count) - np.arange(len(key)) - 1  # rows of the key after this one
         left[np.repeat(count > BLOCK, count)] = 0
         at, shift = np.flatnonzero(left > 0), 1
         while len(at):
-            apart = _apart(fp[at], fp[at + shift])
+            if sized:  # rows are sorted by size: once the other set is too large, all later ones are
+                at = at[n[at] / np.maximum(1, n[at + shift]) >= SIMILAR]
+            some = at[label[at] != label[at + shift]] if labelled else at
+            apart = _apart(fp[some], fp[some + shift])
             close = apart <= within
             if close.any():
-                yield ids[at[close]], ids[at[close] + shift], apart[close]
+                yield ids[some[close]], ids[some[close] + shift], apart[close]
             shift += 1
             at = at[left[at] >= shift]
 
@@ -214,6 +231,9 @@ def links(keys: DataFrame, within: int) -> DataFrame:
         held: list[Edges] = []
         size = 0
         for part in parts:
+            if every:
+                yield pa.record_batch([pa.array(z) for z in part], ["a", "b", "apart"])
+                continue
             held.append(part)
             size += len(part[0])
             if size > PAIRS:
@@ -231,23 +251,25 @@ def links(keys: DataFrame, within: int) -> DataFrame:
 
         def flush(last: bool):
             nonlocal held, rows
-            key, ids, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(key) if last else int(np.searchsorted(key, key[-1]))
-            held, rows = ([], 0) if last else ([(key[end:], ids[end:], fp[end:])], len(key) - end)
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+            held, rows = ([], 0) if last else ([tuple(c[end:] for c in cols)], len(cols[0]) - end)
             if end:
-                yield from compact(linked(key[:end], ids[:end], fp[:end]))
+                yield from compact(linked(*(c[:end] for c in cols)))
 
         for batch in batches:
             if len(batch):
                 raw = batch.column(2).to_pylist()
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)))
+                none = np.zeros(len(batch), np.int64)
+                further = [batch.column(3 + more.index(c)).to_numpy() if c in more else none for c in ("n", "label")]
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1), *further))
                 rows += len(batch)
                 if rows >= 200_000:
                     yield from flush(False)
         if held:
             yield from flush(True)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, apart long")
+    return keys.repartition("key").sortWithinPartitions("key", *(["n"] if sized else [])).mapInArrow(run, "a long, b long, apart long")
 
 
 def merged(prints: DataFrame) -> DataFrame:
@@ -277,54 +299,78 @@ def near_duplicates(docs: DataFrame, width: int = 3, within: int = 3) -> DataFra
 
 
 #: Words of the stage's wide fingerprint. A Jaccard similarity of 0.8 stands for an angle at which 15 % of the bits differ,
-#: 39 of 256 with a standard error of 6: up to WIDE_SURE bits (2.6 errors) two texts are similar, up to WIDE_WITHIN they may be.
-WIDE_WORDS, WIDE_SURE, WIDE_WITHIN = 4, 24, 52
+#: 39 of 256 with a standard error of 6: texts up to WIDE_WITHIN bits apart (2.2 errors) may be similar.
+WIDE_WORDS, WIDE_WITHIN = 4, 52
 SIMILAR = 0.8
 
 
-def jaccard(a: str, b: str, width: int) -> float:
-    """Of the sets of the texts' shingles."""
-    x, y = (np.unique(hashes(t, width)) for t in (a, b))
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Two sets of shingles, distinct hashes each, share SIMILAR of their union."""
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    return both / max(1, len(x) + len(y) - both) >= SIMILAR
+
+
+def shingled(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """Rows (doc_id, id, fp, n), and the set with keep: the wide fingerprint, number and (in id) digest of a text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(hashes(text, 5))
+                raw = h.tobytes()
+                fp = b"".join(np.packbits(majority(_spread(h, w))).tobytes() for w in range(WIDE_WORDS)) if not keep else b""
+                out.append((xxhash.xxh3_64_intdigest(raw) - 2**63, fp, len(h), raw if keep else b""))
+            digest, fp, n, grams = zip(*out, strict=True) if out else ((), (), (), ())
+            cols = [batch.column(0), pa.array(digest, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(grams, pa.binary())]
+            yield pa.record_batch(cols[: 4 + keep], ["doc_id", "id", "fp", "n", "grams"][: 4 + keep])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp binary, n long" + ", grams binary" * keep)
 
 
-def checked(docs: DataFrame, nodes: DataFrame, doubt: DataFrame) -> DataFrame:
-    """doubt (a, b, la, lb), pairs of nodes -> the (la, lb) of those whose texts are similar, by all their shingles."""
-    ends = doubt.select(F.col("a").alias("id")).union(doubt.select("b")).distinct()
-    ends = written(nodes.join(ends, "id", "left_semi"), "ends")
+def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar, by all their shingles."""
+    ends = written(nodes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", "least"), "ends")
     wanted = docs.join(ends.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_least")), "left_semi")
-    texts = fingerprints(wanted, 5, WIDE_WORDS, keep=True).join(ends.select("id", "fp"), "fp").groupBy("id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
-    pairs = doubt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    sets = shingled(wanted, keep=True).join(ends.select("id"), "id", "left_semi").groupBy("id").agg(F.min("grams").alias("grams"))
+    sets = written(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [jaccard(x, y, 5) >= SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+            sets = ([np.frombuffer(g, np.uint64) for g in batch.column(c).to_pylist()] for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
-    return pairs.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def labelled(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """nodes (id, ...) with a column `name`: the component of each under edges (a, b), its own id without any."""
+    label = components(edges).select(F.col("node").alias("id"), F.col("label").alias(name))
+    return nodes.join(label, "id", "left").withColumn(name, F.coalesce(name, "id"))
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, component_id): components of texts that share 0.8 of their five-word shingles.
 
-    Wide fingerprints that meet by a key are linked at once where they are all but equal; a pair in doubt is linked
-    if its whole texts are similar. Of the pairs in doubt, those are looked at that join texts no shorter chain of a
-    task's pairs joins: as many as there are texts, not as there are pairs in a group.
+    A node is a set of shingles. Wide fingerprints that meet by a key and differ in at most WIDE_WITHIN bits make a candidate
+    pair; every link is verified on the sets. First each task's forest of least distances is looked at, which joins most of a
+    group; then all other candidate pairs whose ends the first round left in different components. A node without a
+    pair in the forests has no candidate, so only groups of candidates that fell apart meet again.
     """
-    prints = written(fingerprints(docs, 5, WIDE_WORDS), "simhash")
-    nodes = merged(prints)
-    edges = written(links(keyed(nodes.select("id", "fp"), False), WIDE_WITHIN), "links")
-    label = components(edges.where(F.col("apart") <= WIDE_SURE).select("a", "b"))
-    doubt = edges.where(F.col("apart") > WIDE_SURE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):
-        doubt = doubt.join(label.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-    doubt = written(doubt.where("la <> lb").select("a", "b", "la", "lb"), "doubt")
-    again = components(checked(docs, nodes, doubt)).withColumnRenamed("label", "to")
-    every = nodes.select(F.col("id").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    every = every.join(again.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return spread(prints, nodes, every)
+    prints = written(shingled(docs), "simhash")
+    nodes = written(prints.groupBy("id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "prints")
+    order = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = written(order(links(keyed(nodes.select("id", "fp", "n"), False), WIDE_WITHIN)), "links")
+    near = written(checked(docs, nodes, first), "near")
+    at = written(labelled(labelled(nodes, first, "may"), near, "label"), "parts")
+    apart = at.groupBy("may").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("may")
+    again = written(at.join(apart, "may", "left_semi").select("id", "fp", "n", "label"), "open")
+    rest = written(order(links(keyed(again, False), WIDE_WITHIN, every=True)).join(first, ["a", "b"], "left_anti"), "rest")
+    parts = labelled(nodes, near.union(checked(docs, nodes, rest)), "label")
+    least = parts.groupBy("label").agg(F.min("least").alias("component_id"))
+    return prints.join(parts.join(least, "label").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

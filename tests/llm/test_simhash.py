@@ -133,3 +133,28 @@ def test_odd_and_empty(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicated(none).count() == 0
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns and kept.where("doc_id in (7, 8, 9)").count() == 1
+
+
+def test_stage_looks_at_every_candidate(spark):
+    """Templated pages, many of them just under the similarity: components are those of all candidate pairs, not of a forest's."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        for i in range(16):
+            text = list(base)
+            for at in rng.sample(range(8, 192), 2 + i % 3):
+                text[at] = "x" + str(rng.random())
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.similar(docs).collect()}
+    sets = {d: np.unique(simhash.hashes(t, 5)) for d, t in rows}
+    fp = {d: np.frombuffer(f, np.uint8) for d, (f, _) in got.items()}
+    keys = {d: {(k, c) for k, (w, n) in enumerate(simhash._segments(f[None, :], 23)) for c in simhash.near_codewords(w, n)[0].tolist() if c >= 0} for d, f in fp.items()}
+    near = lambda a, b: np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.WIDE_WITHIN and keys[a] & keys[b]
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8
+    comp = joined(sorted(got), lambda a, b: near(a, b) and share(a, b))
+    least = {}
+    for d in sorted(got):
+        least.setdefault(comp[d], d)
+    assert {d: c for d, (_, c) in got.items()} == {d: least[comp[d]] for d in got}
