@@ -158,3 +158,14 @@ def test_stage_looks_at_every_candidate(spark):
     for d in sorted(got):
         least.setdefault(comp[d], d)
     assert {d: c for d, (_, c) in got.items()} == {d: least[comp[d]] for d in got}
+
+
+def test_stage_compares_sets(spark):
+    """A word repeated over most of a text doesn't make different texts copies; unequally repeated passages don't keep copies apart."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows = [(i, "spam " * 900 + say(120)) for i in range(4)]
+    p, q = say(60), say(60)
+    rows += [(10, " ".join([p] * 9 + [q])), (11, " ".join([p] + [q] * 9 + [p, q])), (12, p + " " + q)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10, 12: 10}
