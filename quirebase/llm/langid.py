@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 TRAIN_DOCS, TRAIN_CHARS = 64, 500
+#: Labelled documents beyond the training ones, and their characters, from which a language's usual rates are measured.
+USUAL_DOCS, USUAL_CHARS = 256, 1000
+#: Of those rates the quantile, and the allowance on it, up to which a text fits the language; without any such document the bound.
+USUAL, ALLOWANCE, FOREIGN = 0.99, 1.25, 0.5
 #: States x symbols that the tables of all languages may have together; more languages get shorter samples.
 CELLS = 12_000_000
 SYMBOLS = 96
@@ -174,20 +178,59 @@ def parser_of(samples: dict[str, list[str]]) -> CrossParser:
     return _FITTED[key]
 
 
-def sample(docs: DataFrame, train: Column | None = None) -> dict[str, list[str]]:
-    """The bounded training sample: {language: texts}. Spark keeps the least rows of each language before the shuffle."""
+def _ranked(docs: DataFrame, chars: int, least: int, most: int) -> DataFrame:
+    """Rows (lang, text, i) of the labelled documents, i from least to most by hash in each language. Spark keeps the least rows of each language before the shuffle."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.where(train) if train is not None else rows
-    rows = rows.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("at"))
-    top = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("i") <= TRAIN_DOCS)
+    rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("at"), F.substring("text", 1, TRAIN_CHARS).alias("_head"))
+    top = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "_head"))).where(F.col("i") <= most)
+    return top.where(F.col("i") >= least).select("lang", "text", "i")
+
+
+def sample(docs: DataFrame, train: Column | None = None) -> dict[str, list[str]]:
+    """The bounded training sample: {language: texts}."""
+    top = _ranked(docs if train is None else docs.where(train), TRAIN_CHARS, 1, TRAIN_DOCS)
     out: dict[str, list[str]] = {}
     for r in top.orderBy("lang", "i").collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 
 
-def identified(docs: DataFrame, samples: dict[str, list[str]], keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs, and lang_pred, score, phrase_rate from the text alone."""
+def level(symbols: int) -> int:
+    """Texts of one level have from 2**level to twice as many symbols: short ones need more phrases a symbol."""
+    return max(0, symbols.bit_length() - 1)
+
+
+def bounds(docs: DataFrame, samples: dict[str, list[str]]) -> dict[str, list[float]]:
+    """{language: by level, the phrases a symbol up to which a text fits it}, from labelled documents that aren't in the sample.
+
+    Their beginnings of 2**level symbols are parsed under their own language. A level that a language has no documents for
+    takes the largest bound that others have there, else its own of the level below, else FOREIGN.
+    """
+    levels = level(USUAL_CHARS) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = parser_of(samples)
+        for batch in batches:
+            texts = [letters(t) for t in batch.column(1).to_pylist()]
+            cuts = [(lang, k, t[: 1 << k]) for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True) for k in range(levels) if t.any() and len(t) >= 1 << k]
+            need = parser.phrases([t for _, _, t in cuts])
+            rate = [float(need[i, parser.langs.index(lang)]) / len(t) for i, (lang, _, t) in enumerate(cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.string()), pa.array([c[1] for c in cuts], pa.int32()), pa.array(rate, pa.float64())], ["lang", "level", "rate"])
+
+    held = _ranked(docs, USUAL_CHARS, TRAIN_DOCS + 1, TRAIN_DOCS + USUAL_DOCS).select("lang", "text")
+    rates = held.mapInArrow(run, "lang string, level int, rate double").groupBy("lang", "level").agg(F.percentile("rate", F.lit(USUAL)).alias("rate"))
+    usual = {(r.lang, r.level): ALLOWANCE * r.rate for r in rates.collect()}
+    out: dict[str, list[float]] = {}
+    for lang in samples:
+        row = out.setdefault(lang, [])
+        for k in range(levels):
+            others = [v for (_, at), v in usual.items() if at == k]
+            row.append(usual.get((lang, k), max(others) if others else row[-1] if row else FOREIGN))
+    return out
+
+
+def identified(docs: DataFrame, samples: dict[str, list[str]], keep: list[str] | None = None, bound: dict[str, list[float]] | None = None) -> DataFrame:
+    """Columns `keep` of docs, and lang_pred, score, phrase_rate from the text alone; with `bound` also fits, whether the rate is within it."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
@@ -195,10 +238,17 @@ def identified(docs: DataFrame, samples: dict[str, list[str]], keep: list[str] |
         parser = parser_of(samples)
         for batch in batches:
             lang, score, rate = parser.predict(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*keep, "lang_pred", "score", "phrase_rate"])
+            out = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+            if bound is not None:
+                size = [len(letters(t or "")) for t in batch.column(len(keep)).to_pylist()]
+                fits = [k != "und" and r <= bound[k][min(level(n), len(bound[k]) - 1)] for k, r, n in zip(lang, rate, size, strict=True)]
+                out.append(pa.array(fits, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     small_batches(docs.sparkSession)
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    schema = schema if bound is None else schema.add("fits", "boolean")
+    names = schema.names
     return rows.mapInArrow(run, schema)
 
 

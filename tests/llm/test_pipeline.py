@@ -37,3 +37,24 @@ def test_ids_are_stable(spark, odd):
     assert langid.sample(odd) == langid.sample(odd.repartition(5))
     a = {(r.doc_id, r.fp) for r in simhash.fingerprints(odd).collect()}
     assert a == {(r.doc_id, r.fp) for r in simhash.fingerprints(odd.repartition(7)).collect()}
+
+
+FOREIGN = [
+    "Il governo ha annunciato ieri che il nuovo ponte sarà aperto al traffico entro la fine dell'anno, ma molti cittadini restano scettici.",
+    "De regering heeft gisteren bekendgemaakt dat de nieuwe brug voor het einde van het jaar wordt geopend, maar veel inwoners twijfelen.",
+    "Hallitus ilmoitti eilen, että uusi silta avataan liikenteelle ennen vuoden loppua, mutta monet asukkaat epäilevät asiaa.",
+    "Regeringen meddelade i går att den nya bron öppnas för trafik före årets slut, men många invånare tvivlar på det.",
+    "Hyvää huomenta kaikille ystäville",
+]
+
+
+def test_foreign_languages_go(spark, sf):
+    """Prose of languages without a label goes, short or long, and a language whose label is taken away; labelled documents stay."""
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    prose = spark.createDataFrame([(10**6 + i, t, None, "src1", len(t)) for i, t in enumerate(FOREIGN)], real.schema)
+    kept = {r.doc_id for r in pipeline.language(spark, real.unionByName(prose), sf).collect()}
+    assert kept == {r.doc_id for r in real.collect()}
+    without = real.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    kept = {r.doc_id for r in pipeline.language(spark, without, sf).collect()}
+    rest, gone = ({r.doc_id for r in real.where(c).collect()} for c in ("lang <> 'de'", "lang = 'de'"))
+    assert rest <= kept and len(gone & kept) <= 0.1 * len(gone)
