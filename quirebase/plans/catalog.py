@@ -322,8 +322,12 @@ def x11_x03_canonical(d: Dialect) -> str:
 
 @plan
 def a19_bag_ratio(d: Dialect) -> str:
-    ex = lambda c, a: (f"SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, explode(split(substring(text, {a}, 40), '')) AS ch FROM documents) q WHERE ch <> '' GROUP BY doc_id, ch" if d.spark else f"SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(split(substring(text, {a}, 40), '')) AS ch FROM documents) q WHERE ch <> '' GROUP BY doc_id, ch")
-    return f"WITH a AS ({ex('a', 1)}), b AS ({ex('b', 21)}) SELECT a.doc_id, CAST(sum(least(a.n, b.n)) AS BIGINT) AS common FROM a JOIN b ON a.doc_id = b.doc_id AND a.ch = b.ch GROUP BY a.doc_id"
+    """2 sum(min(counts)) / (len a + len b) of each line with the next one, both whole and cleaned: the first as a formula, the second as glyphs."""
+    back = "chr(92) || "  # patterns hold no backslash in their text
+    words = f"regexp_replace(text, {back}{back}'[A-Za-z]+', ' '{'' if d.spark else ', ' + chr(39) + 'g' + chr(39)})"
+    bare = lambda x: f"lower({d.sub(x, '[^0-9A-Za-z]', '')})"
+    chars = lambda c: f"SELECT doc_id, blk, ch, count(*) AS n FROM (SELECT doc_id, blk, {'explode' if d.spark else 'unnest'}(split({c}, '')) AS ch FROM p) q WHERE ch <> '' GROUP BY doc_id, blk, ch"
+    return f"WITH t AS ({d.lines()}), p AS (SELECT doc_id, blk, {bare(words)} AS a, {bare('down')} AS b FROM (SELECT doc_id, blk, text, lead(text) OVER (PARTITION BY doc_id ORDER BY blk) AS down FROM t) q WHERE down IS NOT NULL), ca AS ({chars('a')}), cb AS ({chars('b')}), i AS (SELECT ca.doc_id, ca.blk, sum(least(ca.n, cb.n)) AS common FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.blk = cb.blk AND ca.ch = cb.ch GROUP BY ca.doc_id, ca.blk) SELECT p.doc_id, p.blk, coalesce(2e0 * i.common / (length(a) + length(b)), 0e0) AS ratio FROM p LEFT JOIN i ON p.doc_id = i.doc_id AND p.blk = i.blk"
 
 
 @plan
