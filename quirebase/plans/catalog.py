@@ -338,20 +338,26 @@ def f41_f43_sentence_ends(d: Dialect) -> str:
 # --- ordered prefixes and segments ---------------------------------------------------------------------------------------
 
 
+def _plain(d: Dialect, x: str) -> str:
+    """Runs of white space as one space, none at the ends."""
+    return f"trim({d.sub(x, f'[ {chr(9)}-{chr(13)}]+', ' ')})"
+
+
 @plan
 def w01_w02_w05_budget(d: Dialect) -> str:
-    """Blocks until the first overflow of a budget, not whatever fits."""
-    return f"WITH b AS ({d.lines()}), s AS (SELECT doc_id, blk, length(text) AS n, sum(length(text) + 24) OVER (PARTITION BY doc_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM b WHERE text <> ''), f AS (SELECT *, sum(CASE WHEN used > 1200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS over_ FROM s) SELECT doc_id, blk, CAST(n AS INTEGER) AS n, CAST(used AS BIGINT) AS used FROM f WHERE over_ = 0"
+    """W01: of a document's first 200 lines those before the first overflow of 12,000; a line is a note (to 1,500), the next one its sentence (to 600)."""
+    return f"WITH b AS ({d.lines()}), r AS (SELECT doc_id, blk, length(substring({_plain(d, 'text')}, 1, 1500)) AS note, length(substring({_plain(d, 'coalesce(down, chr(32))')}, 1, 600)) AS sent FROM (SELECT doc_id, blk, text, lead(text) OVER (PARTITION BY doc_id ORDER BY blk) AS down FROM b) q WHERE blk < 200), s AS (SELECT doc_id, blk, note + sent AS n, sum(note + sent + 24) OVER (PARTITION BY doc_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r WHERE note > 0) SELECT doc_id, blk, CAST(n AS INTEGER) AS n, CAST(used AS BIGINT) AS used FROM s WHERE used <= 12000"
 
 
 @plan
 def w03_chat_suffix(d: Dialect) -> str:
-    return "WITH r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r WHERE k <= 24) SELECT conv_id, turn, CAST(n AS INTEGER) AS n FROM s WHERE used <= 800"
+    """Of a conversation's last 24 turns, from the last back, those before the first overflow of 8,000; a turn counts to 1,500 and its speaker's mark."""
+    return f"WITH r AS (SELECT conv_id, turn, length(substring({_plain(d, 'text')}, 1, 1500)) AS n, CASE WHEN role = 'user' THEN 2 ELSE 3 END AS mark, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), s AS (SELECT *, sum(n + mark) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r WHERE k <= 24 AND n > 0) SELECT conv_id, turn, CAST(n AS INTEGER) AS n FROM s WHERE used <= 8000"
 
 
 @plan
 def w04_stream_cap(d: Dialect) -> str:
-    return "WITH s AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM conversations) SELECT conv_id, turn, substring(text, 1, CAST(greatest(0, 500 - before_) AS INTEGER)) AS text FROM s WHERE before_ < 500"
+    return "WITH s AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM conversations WHERE text <> '') SELECT conv_id, turn, substring(text, 1, CAST(greatest(0, 6000 - before_) AS INTEGER)) AS text FROM s WHERE before_ < 6000"
 
 
 @plan

@@ -18,3 +18,18 @@ def test_bag_ratio(spark, sf):
             want[doc, i] = 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a and b else 0.0
     got = {(r.doc_id, r.blk): r.ratio for r in queries.QUERIES["a19_bag_ratio"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_budget(spark, sf):
+    want = set()
+    for doc, rows in lines(spark, sf).items():
+        used = 0
+        for i, t in enumerate(rows[:200]):
+            note, sent = " ".join(t.split())[:1500], " ".join((rows[i + 1] if i + 1 < len(rows) else "").split())[:600]
+            if not note:
+                continue
+            used += len(note) + len(sent) + 24
+            if used > 12000:
+                break
+            want.add((doc, i, len(note) + len(sent), used))
+    assert {tuple(r) for r in queries.QUERIES["w01_w02_w05_budget"](spark, sf).collect()} == want
