@@ -400,8 +400,11 @@ def a10_a11_page_fonts(d: Dialect) -> str:
 
 @plan
 def w16_w17_region(d: Dialect) -> str:
-    """Blocks after the last heading-like one, up to the next."""
-    return f"WITH b AS (SELECT doc_id, blk, length(text) < 30 AS head FROM ({d.lines()}) q), s AS (SELECT doc_id, max(CASE WHEN head AND blk < 12 THEN blk END) AS start, min(CASE WHEN head AND blk >= 12 THEN blk END) AS stop FROM b GROUP BY doc_id) SELECT b.doc_id, b.blk FROM b JOIN s ON b.doc_id = s.doc_id AND b.blk > s.start AND (s.stop IS NULL OR b.blk < s.stop)"
+    """Blocks after the last heading-like one of the document, up to the first terminator after it; without a heading the blocks of reference kind.
+
+    On the view a heading is a line of under 30 characters, a terminator one of 30 to 40, and a line that opens with a number in brackets is of reference kind.
+    """
+    return f"WITH b AS (SELECT doc_id, blk, length(text) BETWEEN 1 AND 29 AS head, length(text) BETWEEN 30 AND 40 AS ends, {d.rx('text', '^ *[(][0-9]+[)]')} AS ref FROM ({d.lines()}) q), s AS (SELECT doc_id, max(CASE WHEN head THEN blk END) AS start FROM b GROUP BY doc_id), e AS (SELECT b.doc_id, min(b.blk) AS stop FROM b JOIN s ON b.doc_id = s.doc_id AND b.blk > s.start AND b.ends GROUP BY b.doc_id) SELECT b.doc_id, b.blk FROM b JOIN s ON b.doc_id = s.doc_id LEFT JOIN e ON b.doc_id = e.doc_id WHERE CASE WHEN s.start IS NULL THEN b.ref ELSE b.blk > s.start AND (e.stop IS NULL OR b.blk < e.stop) END"
 
 
 @plan

@@ -33,3 +33,15 @@ def test_budget(spark, sf):
                 break
             want.add((doc, i, len(note) + len(sent), used))
     assert {tuple(r) for r in queries.QUERIES["w01_w02_w05_budget"](spark, sf).collect()} == want
+
+
+def test_region(spark, sf):
+    want = set()
+    for doc, rows in lines(spark, sf).items():
+        heads = [i for i, t in enumerate(rows) if 1 <= len(t) <= 29]
+        if heads:
+            stop = next((i for i in range(heads[-1] + 1, len(rows)) if 30 <= len(rows[i]) <= 40), len(rows))
+            want |= {(doc, i) for i in range(heads[-1] + 1, stop)}
+        else:
+            want |= {(doc, i) for i, t in enumerate(rows) if re.match(" *[(][0-9]+[)]", t)}
+    assert {(r.doc_id, r.blk) for r in queries.QUERIES["w16_w17_region"](spark, sf).collect()} == want
