@@ -202,7 +202,8 @@ def j30_x49_note_keys(d: Dialect) -> str:
 
 @plan
 def j28_j29_missing(d: Dialect) -> str:
-    return f"WITH {RECORDS}, {SHARES} SELECT DISTINCT r.owner AS who FROM records r LEFT JOIN (SELECT DISTINCT who FROM shares WHERE perm = 'edit' AND id % 50 = 1) s ON r.owner = s.who WHERE s.who IS NULL AND r.owner <> ''"
+    """J29: for each document the accounts that it isn't shared with; accounts are the records' owners."""
+    return f"WITH {RECORDS}, {SHARES}, accounts AS (SELECT DISTINCT owner AS who FROM records WHERE owner <> '') SELECT r.id, a.who FROM records r CROSS JOIN accounts a LEFT JOIN (SELECT DISTINCT id, who FROM shares WHERE who <> '') s ON r.id = s.id AND a.who = s.who WHERE s.id IS NULL"
 
 
 @plan

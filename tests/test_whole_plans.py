@@ -45,3 +45,15 @@ def test_region(spark, sf):
         else:
             want |= {(doc, i) for i, t in enumerate(rows) if re.match(" *[(][0-9]+[)]", t)}
     assert {(r.doc_id, r.blk) for r in queries.QUERIES["w16_w17_region"](spark, sf).collect()} == want
+
+
+def test_accounts_not_shared(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders_")
+    owner = {r.o_orderkey: f"u{r.o_custkey % 40}" for r in spark.table("orders_").collect() if r.o_custkey % 17}
+    ids = {r.o_orderkey for r in spark.table("orders_").collect()}
+    shared = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        if r.l_partkey % 11:
+            shared[r.l_orderkey].add(f"u{r.l_partkey % 40}")
+    want = {(i, w) for i in ids for w in set(owner.values()) - shared[i]}
+    assert {tuple(r) for r in queries.QUERIES["j28_j29_missing"](spark, sf).collect()} == want
