@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shelved, unshelved, written
 
 RATIO, MIN_PAGES = 0.1, 5
 
@@ -40,14 +40,14 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
 
 
 def without_boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with the boilerplate lines of their hosts taken out of text, and n_lines, n_dropped."""
-    cols = pages.columns
+    """pages with the boilerplate lines of their hosts taken out of text, and n_lines, n_dropped (in place of columns of these names)."""
+    pages, names = shelved(pages, "text", host)
     bad = written(boilerplate(pages, host, ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host")
     df = pages.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn("_lines", F.split("text", "\n"))
     good = F.filter("_lines", lambda x: ~(filled(x) & F.array_contains("bad", named(x))))
     df = df.withColumn("_good", F.when(F.col("bad").isNull(), F.col("_lines")).otherwise(good))
     df = df.withColumns({"text": F.array_join("_good", "\n"), "n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_lines") - F.size("_good"), F.lit(0))})
-    return df.select(*cols, "n_lines", "n_dropped")
+    return unshelved(df, names, "n_lines", "n_dropped")
 
 
 SQL = f"""

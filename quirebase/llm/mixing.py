@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shelved, unshelved, written
 
 SEED, SPLIT = 17, 500.0
 
@@ -54,14 +54,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
-    """docs repeated to the target weights and shuffled; copy counts a document's copies from 1 to repetitions."""
+    """docs repeated to the target weights and shuffled; copy counts a document's copies from 1 to repetitions.
+
+    The rows are the same whatever the number of partitions; the order inside the files is by hash of (seed, id, copy, text)."""
+    docs, names = shelved(docs, "doc_id", "text", "source")
     table = written(rates(docs, weights), "rates")
     df = docs.join(table, F.col("source").eqNullSafe(F.col("_source")))
     one = lambda s, j: s + F.size(F.filter("cdf", lambda c: c <= uniform(seed, j, F.col("doc_id"))))
     df = df.withColumn("repetitions", F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), one))
     df = df.select(*docs.columns, "repetitions").where("repetitions > 0")
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions")))).withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    return df.repartition("_at").sortWithinPartitions("_at").drop("_at")
+    df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions")))).withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "copy", "text"))
+    return unshelved(df.repartition("_at").sortWithinPartitions("_at"), names, "repetitions", "copy")
 
 
 SQL = f"""

@@ -65,4 +65,4 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
         seen[c.shard] += c["count"]
     before = F.broadcast(spark.createDataFrame(base, "shard int, bucket int, base long"))
     order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "k1", "k2")
-    return placed.withColumn("i", F.row_number().over(order)).join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("i") - 1).cast("int").alias("slot"))
+    return placed.withColumn("i", F.row_number().over(order)).join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("i") - 1).cast("long").alias("slot"))

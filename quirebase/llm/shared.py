@@ -14,9 +14,11 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset and gets one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="quirebase-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -43,12 +45,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def shelved(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """df with every column but the `needed` ones under a name that no operator uses (also clashing ones), and all its names in order."""
+    names = df.columns
+    first = {c: names.index(c) for c in needed if c in names}
+    return df.toDF(*(c if first.get(c) == i else f"shelved_{i}" for i, c in enumerate(names))), names
+
+
+def unshelved(df: DataFrame, names: list[str], *new: str) -> DataFrame:
+    """The columns that `shelved` hid under their own names, in order, and the new ones; a new one replaces an old one of its name."""
+    low = [n.lower() for n in new]
+    shown = [(f"shelved_{i}" if f"shelved_{i}" in df.columns else c, c) for i, c in enumerate(names) if c.lower() not in low]
+    return df.select(*(F.col(k).alias(c) for k, c in shown), *new)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a long, b long) as rows (node, label), nodes without an edge left out.
+    """Connected components of edges (a, b) as rows (node, label), nodes without an edge left out; ids of any one type with an order.
 
-    Each round every node hooks to its least neighbour, the pointers are halved once, and the edges are
-    contracted to the labels they now join. All of it is joins and map-side combined minima over written
-    tables: no list of neighbours and no component meets in one task. Loops (a = b) and repeated edges are allowed.
+    Each round every node hooks to its least neighbour, the pointers are halved until they all lead to a root (a logarithmic
+    number of times, also on a sorted path), and the edges are contracted to the roots. All of it is joins and map-side
+    combined minima over written tables: no list of neighbours and no component meets in one task. Loops (a = b) and
+    repeated edges are allowed.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     labels = None
@@ -56,8 +73,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("p"))
         hook = written(hook, "hook")
-        up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        hook = written(hook.join(up, "p").select("u", F.col("pp").alias("p")), "hook2")
+        while True:
+            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            hook = written(hook.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "halved")
+            if hook.where("moved").isEmpty():
+                break
+            hook = hook.select("u", "p")
+        hook = hook.select("u", "p")
         if labels is None:
             labels = hook.select(F.col("u").alias("node"), F.col("p").alias("label"))
         else:

@@ -1,17 +1,21 @@
 """SimHash near-duplicates through Golay-code fuzzy hashing.
 
-A fingerprint is cut into segments of at most 23 bits. The binary Golay code (23, 12, 7) is perfect: every 23-bit word
-lies within 3 bits of exactly one codeword. A segment's keys are the codewords of itself and of all its one-bit
-neighbours (five on average), so two segments that differ in at most one bit share a key. By the pigeonhole:
-
-* 64 bits in three segments, at most 3 errors: at least two segments have at most one error each. Keys are therefore
-  pairs of codewords, 24 bits for each of the three pairs of segments (`pairs=True`). No link is lost.
-* wide fingerprints, for similarity of texts: one segment with at most one error is enough (`pairs=False`). They only
-  find candidates; every link is verified on the texts' sets of shingles.
-
-Rows of equal keys are joined by sorting; every pair of a key is verified by counting bits, and of the links that this
-settles only a spanning forest leaves a task. Texts with equal 64-bit fingerprints, or with equal sets of shingles in the
-wide case, were merged before, so a group of copies, however large, is one row. A key with more than BLOCK fingerprints is compared block by block in constant memory.
+A fingerprint of 64 bits is cut into three segments of at most 23 bits. The binary Golay code (23, 12, 7) is perfect:
+every 23-bit word lies within 3 bits of exactly one codeword. A segment's keys are the codewords of itself and of all
+its one-bit neighbours (five on average), so two segments that differ in at most one bit share a key. At most 3 errors
+in three segments leave at least two segments with at most one error each, so keys are pairs of codewords (24 bits for
+each of the three pairs of segments) and no link is lost.
+
+Rows of equal keys meet by sorting, every pair of a key is verified by counting bits, and only a spanning forest of the
+links leaves a task. Equal fingerprints were merged before, so a group of copies, however large, is one row. A key with
+more than BLOCK fingerprints is handed on unread: it is split by quarters (of four quarters of two fingerprints that
+differ in 3 bits or fewer one is equal), and what is still too large by pairs of blocks, one task for each pair. So no
+task holds more than a few BLOCK rows of a key, and nothing is lost.
+
+`similar` (the pipeline's stage) wants texts that share 0.8 of their five-word shingles. There two fingerprints of 64
+bits may differ in ten or more bits, where Golay keys short enough to meet compare a fixed share of all pairs (see
+README). So the fingerprints' links name the first candidates, MinHash bands of the same shingles the others, and every
+candidate is verified on the sets.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are documents of their
 own; a component whose doc_ids are all null has component_id null; an empty table gives no rows.
@@ -20,21 +24,23 @@ own; a component whose doc_ids are all null has component_id null; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, small_batches, written
+from .shared import components, shelved, small_batches, unshelved, written
 
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: Fingerprints of one key that a task compares as they come; keys with more are split first.
 BLOCK = 1024
-PAIRS = 1_000_000
-SHINGLES = 65_536
+#: Edges that a task holds before it reduces them to a forest; rows that it holds; shingles hashed at once.
+PAIRS, ROWS, SHINGLES = 1_000_000, 200_000, 65_536
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -90,64 +96,38 @@ def majority(h: np.ndarray) -> np.ndarray:
     return 2 * count > len(h)
 
 
-#: Odd multipliers that turn a shingle's hash into further words of a wide fingerprint: powers of the golden ratio's.
-def _spread(h: np.ndarray, word: int) -> np.ndarray:
-    if word == 0:
-        return h
-    x = h * np.uint64(pow(0x9E3779B97F4A7C15, word, 2**64))
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
-
-
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: bool = False) -> DataFrame:
-    """Rows (doc_id, fp), and the text with keep: fp is 8 x words bytes, most significant first."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """Rows (doc_id, fp): fp is the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                h = hashes(text, width)
-                out.append(b"".join(np.packbits(majority(_spread(h, w))).tobytes() for w in range(words)))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), *batch.columns[1 : 1 + keep]], ["doc_id", "fp", "text"][: 2 + keep])
+            raw = b"".join(np.packbits(majority(hashes(text, width))).tobytes() for text in batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary" + ", text string" * keep)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segments(fp: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-    """fp: (n, bytes). Words of `size` or fewer bits that cover all the bits, or all but a rest of under `size` where it is 23."""
-    bits = np.unpackbits(fp, axis=1).astype(np.int64)
-    total = bits.shape[1]
-    count = total // size if size == 23 else -(-total // size)
-    edges = [size * i for i in range(count + 1)] if size == 23 else [total * i // count for i in range(count + 1)]
-    return [((bits[:, a:b] << np.arange(b - a - 1, -1, -1)).sum(axis=1), b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def keyed(nodes: DataFrame, pairs: bool) -> DataFrame:
-    """nodes (id long, fp binary, further longs) -> rows (key long, id, fp, those): the keys by which near fingerprints meet."""
-    more = nodes.columns[2:]
+def keyed(nodes: DataFrame) -> DataFrame:
+    """nodes (fp long) -> rows (key long, fp): the pairs of codewords by which fingerprints at most 3 bits apart meet."""
+    edges = [64 * i // 3 for i in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(i, 4096) for i in range(0, len(big), 4096)):
-                raw = batch.column(1).to_pylist()
-                fp = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-                cw = [near_codewords(w, b) for w, b in _segments(fp, 22 if pairs else 23)]
-                if pairs:
-                    found = [(i, (k << 24) + (a[:, :, None] << 12) + b[:, None, :], (a[:, :, None] >= 0) & (b[:, None, :] >= 0)) for k, (a, b) in enumerate(combinations(cw, 2)) for i in [k]]
-                else:
-                    found = [(k, (k << 12) + a, a >= 0) for k, a in enumerate(cw)]
-                for _, key, real in found:
+                fp = batch.column(0).to_numpy().view(np.uint64)
+                words = [((fp >> np.uint64(64 - b)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) for a, b in zip(edges, edges[1:], strict=False)]
+                near = [near_codewords(w, b - a) for w, a, b in zip(words, edges, edges[1:], strict=False)]
+                for k, (x, y) in enumerate(combinations(near, 2)):
+                    real = (x[:, :, None] >= 0) & (y[:, None, :] >= 0)
                     row = np.nonzero(real)[0]
-                    at = pa.array(row)
-                    yield pa.record_batch([pa.array(key[real]), *(c.take(at) for c in batch.columns)], ["key", "id", "fp", *more])
+                    yield pa.record_batch([pa.array(((k << 24) + (x[:, :, None] << 12) + y[:, None, :])[real]), batch.column(0).take(pa.array(row))], ["key", "fp"])
 
-    return nodes.mapInArrow(run, "key long, id long, fp binary" + "".join(f", {c} long" for c in more))
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
 
 
 def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,208 +160,320 @@ def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray,
 Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def links(keys: DataFrame, within: int, every: bool = False) -> DataFrame:
-    """Rows (key, id, fp) -> edges (a, b, apart) between pairs of equal key at most `within` bits apart: in each task,
-    the spanning forest of least distances, so that no more edges leave it than it read rows. For links that the bits settle.
+def _in_keys(key: np.ndarray, fp: np.ndarray, within: int) -> Iterator[Edges]:
+    """The links among the rows of equal key (sorted): each row against the one 1, 2, ... places behind it."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    left = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(key)) - 1  # rows of the key behind this one
+    at, shift = np.flatnonzero(left > 0), 1
+    while len(at):
+        apart = _apart(fp[at], fp[at + shift])
+        close = (apart <= within) & (apart > 0)
+        if close.any():
+            yield fp[at[close]], fp[at[close] + shift], apart[close]
+        shift += 1
+        at = at[left[at] >= shift]
 
-    With a column n, sizes of sets of shingles, pairs whose sizes alone exclude the similarity are no edges; with a column
-    label pairs of equal label are none. With `every` all edges come out, a pair as often as it shares keys.
-    """
-    more = keys.columns[3:]
-    sized, labelled = "n" in more, "label" in more
-
-    def one(fp: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[Edges]:
-        """All rows are of one key, and too many for the shifted comparison."""
-        for i in range(0, len(fp), BLOCK):
-            for j in range(i, len(fp), BLOCK):
-                if sized and n[min(i + BLOCK, len(n)) - 1] / max(1, n[j]) < SIMILAR:
-                    break  # by size: nothing here or later is near this block in size
-                apart = _apart(fp[i : i + BLOCK, None], fp[None, j : j + BLOCK])
-                x, y = np.nonzero(apart <= within)
-                keep = x + i < y + j
-                if sized:
-                    keep &= n[x + i] / np.maximum(1, n[y + j]) >= SIMILAR
-                if labelled:
-                    keep &= label[x + i] != label[y + j]
-                x, y = x[keep], y[keep]
-                if len(x):
-                    yield ids[x + i], ids[y + j], apart[x, y]
 
-    def linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[Edges]:
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        count = np.diff(edge)
-        for r in np.flatnonzero(count > BLOCK):
-            part = slice(edge[r], edge[r + 1])
-            yield from one(fp[part], ids[part], n[part], label[part])
-        left = np.repeat(edge[1:], count) - np.arange(len(key)) - 1  # rows of the key after this one
-        left[np.repeat(count > BLOCK, count)] = 0
-        at, shift = np.flatnonzero(left > 0), 1
-        while len(at):
-            if sized:  # rows are sorted by size: once the other set is too large, all later ones are
-                at = at[n[at] / np.maximum(1, n[at + shift]) >= SIMILAR]
-            some = at[label[at] != label[at + shift]] if labelled else at
-            apart = _apart(fp[some], fp[some + shift])
-            close = apart <= within
-            if close.any():
-                yield ids[some[close]], ids[some[close] + shift], apart[close]
-            shift += 1
-            at = at[left[at] >= shift]
+def links(keys: DataFrame, within: int, limit: int | None = BLOCK) -> DataFrame:
+    """Rows (key, fp) -> rows (a, b, hot): links between fingerprints of equal key, in each task the spanning forest of least
+    distances; of keys with more than `limit` rows the rows themselves, as (key, fp, true)."""
 
-    def compact(parts: Iterator[Edges]) -> Iterator[pa.RecordBatch]:
+    def compact(parts: Iterator[Edges]) -> Iterator[Edges]:
         held: list[Edges] = []
         size = 0
         for part in parts:
-            if every:
-                yield pa.record_batch([pa.array(z) for z in part], ["a", "b", "apart"])
-                continue
             held.append(part)
             size += len(part[0])
             if size > PAIRS:
                 held = [forest(*(np.concatenate(z) for z in zip(*held, strict=True)))]
                 size = len(held[0][0])
                 if size > PAIRS // 2:
-                    yield pa.record_batch([pa.array(z) for z in held[0]], ["a", "b", "apart"])
+                    yield held[0]
                     held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(z) for z in forest(*(np.concatenate(z) for z in zip(*held, strict=True)))], ["a", "b", "apart"])
+            yield forest(*(np.concatenate(z) for z in zip(*held, strict=True)))
+
+    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        held_key, held_fp, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-        def flush(last: bool):
-            nonlocal held, rows
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            held, rows = ([], 0) if last else ([tuple(c[end:] for c in cols)], len(cols[0]) - end)
-            if end:
-                yield from compact(linked(*(c[:end] for c in cols)))
+        def settled(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+            hot = count[number] > limit if limit is not None else np.zeros(len(key), bool)
+            if hot.any():
+                yield rows(key[hot], fp[hot], True)
+            for a, b, _ in compact(_in_keys(key[~hot], fp[~hot], within)):
+                yield rows(a, b, False)
 
         for batch in batches:
-            if len(batch):
-                raw = batch.column(2).to_pylist()
-                none = np.zeros(len(batch), np.int64)
-                further = [batch.column(3 + more.index(c)).to_numpy() if c in more else none for c in ("n", "label")]
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1), *further))
-                rows += len(batch)
-                if rows >= 200_000:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return keys.repartition("key").sortWithinPartitions("key", *(["n"] if sized else [])).mapInArrow(run, "a long, b long, apart long")
-
-
-def merged(prints: DataFrame) -> DataFrame:
-    """Rows (id, fp, least): a node for each fingerprint, with its least doc_id."""
-    return written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp")), "prints")
-
-
-def spread(prints: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """label (node, label) -> rows (doc_id, fp, component_id) of all documents."""
-    nodes = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if passing is not None and len(key):
+                on = int(np.searchsorted(key, passing, side="right"))
+                if on:
+                    yield rows(key[:on], fp[:on], True)
+                key, fp = key[on:], fp[on:]
+                passing = passing if not len(key) else None
+            held_key, held_fp = np.concatenate([held_key, key]), np.concatenate([held_fp, fp])
+            if len(held_key) >= ROWS:
+                end = int(np.searchsorted(held_key, held_key[-1]))  # the last key may go on
+                yield from settled(held_key[:end], held_fp[:end])
+                held_key, held_fp = held_key[end:], held_fp[end:]
+                if limit is not None and len(held_key) > limit:
+                    passing = int(held_key[0])
+                    yield rows(held_key, held_fp, True)
+                    held_key, held_fp = held_key[:0], held_fp[:0]
+        yield from settled(held_key, held_fp)
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean")
+
+
+def quartered(hot: DataFrame) -> DataFrame:
+    """Rows (key, fp) of too large a key -> four rows each, by a quarter of the bits: of fingerprints at most 3 bits apart one is equal."""
+    quarter = F.explode(F.array(*(F.xxhash64("key", F.lit(k), F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4))))
+    return hot.select(quarter.alias("key"), "fp")
+
+
+def celled(rows: DataFrame, item: str, block: int) -> DataFrame:
+    """rows (key, item, ...) -> the rows of each key once for each pair of blocks that its block is in, so that any two meet in some key.
+
+    Keys with at most `block` rows stay whole; the others get blocks of about half of it.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > block)
+    n = F.coalesce(F.ceil(2 * F.col("many") / block), F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64(F.lit("block"), item), F.col("blocks"))
+    df = rows.join(counts, "key", "left").withColumn("blocks", n).withColumn("own", own)
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return df.withColumn("key", cell).select(*rows.columns)
+
+
+def linked(nodes: DataFrame, within: int) -> DataFrame:
+    """nodes (fp), distinct -> edges (a, b) whose components are those of all pairs at most `within` bits apart."""
+    rows, edges = keyed(nodes), []
+    for split in (quartered, lambda hot: celled(hot, "fp", BLOCK), None):
+        found = written(links(rows, within, BLOCK if split else None), "links")
+        edges.append(found.where(~F.col("hot")).select("a", "b"))
+        hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if split is None or hot.isEmpty():
+            break
+        rows = split(hot)
+    return reduce(DataFrame.unionByName, edges)
+
+
+def labelled(nodes: DataFrame, node: str, edges: DataFrame, name: str) -> DataFrame:
+    """nodes with a column `name`: the component of each under edges (a, b), itself without any."""
+    label = components(edges).select(F.col("node").alias(node), F.col("label").alias(name))
+    return nodes.join(label, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def grouped(prints: DataFrame, within: int) -> DataFrame:
+    """prints (doc_id, fp), written -> rows (doc_id, fp, component_id), components of fingerprints at most `within` bits apart."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    nodes = labelled(nodes, "fp", linked(nodes, within), "label")
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def grouped(prints: DataFrame, within: int, pairs: bool) -> DataFrame:
-    """prints (doc_id, fp), written -> rows (doc_id, fp, component_id), components of fingerprints at most `within` bits apart."""
-    nodes = merged(prints)
-    return spread(prints, nodes, components(links(keyed(nodes.select("id", "fp"), pairs), within)))
-
-
 def near_duplicates(docs: DataFrame, width: int = 3, within: int = 3) -> DataFrame:
     """64-bit fingerprints linked at `within` (3 or fewer) differing bits: rows (doc_id, fingerprint, component_id). Exact."""
     if not 0 <= within <= 3:
         raise ValueError("three segments and one corrected bit each prove links of 3 bits or fewer")
-    out = grouped(written(fingerprints(docs, width), "simhash"), within, pairs=True)
-    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    out = grouped(written(fingerprints(docs, width), "simhash"), within)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of the stage's wide fingerprint. A Jaccard similarity of 0.8 stands for an angle at which 15 % of the bits differ,
-#: 39 of 256 with a standard error of 6: texts up to WIDE_WITHIN bits apart (2.2 errors) may be similar.
-WIDE_WORDS, WIDE_WITHIN = 4, 52
-SIMILAR = 0.8
+#: The stage's similarity, and MinHash: BANDS keys of BAND_ROWS values each. A pair of similarity s shares a key with
+#: probability 1 - (1 - s^5)^20: 0.9996 at 0.8.
+SIMILAR, BANDS, BAND_ROWS = 0.8, 20, 5
+#: A byte of each value makes a sketch of 100. Pairs whose sketches agree on fewer than this many are not looked up: at a
+#: similarity of 0.8 that is 6 standard errors below the mean.
+SKETCH_LEAST = 56
+_ODD = np.random.default_rng(20260101).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhashes(h: np.ndarray) -> np.ndarray:
+    """(BANDS * BAND_ROWS,) least values of as many hash functions over the shingles' hashes."""
+    out = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        out = np.minimum(out, ((h[i : i + 4096, None] ^ (h[i : i + 4096, None] >> np.uint64(31))) * _ODD).min(axis=0, initial=np.iinfo(np.uint64).max))
+    return out
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    """Two sets of shingles, distinct hashes each, share SIMILAR of their union."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both) >= SIMILAR
+    """Two sets of shingles, sorted distinct hashes each, share SIMILAR of their union."""
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
+    return both / max(1, len(z) - both) >= SIMILAR
+
 
+def node_of(h: np.ndarray) -> bytes:
+    """What a set of shingles is known by: 128 bits of its content."""
+    return xxhash.xxh3_128_digest(h.tobytes())
 
-def shingled(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """Rows (doc_id, id, fp, n), and the set with keep: the wide fingerprint, number and (in id) digest of a text's distinct shingles."""
+
+NODE = "id binary, fp long, n long, bands array<long>, sketch binary"
+
+
+def shingled(rows: DataFrame) -> DataFrame:
+    """rows (text, ...) -> (..., id, fp, n, bands, sketch) of each text's distinct five-word shingles."""
+    keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
+            ids, fps, ns, bands, sketches = [], [], [], [], []
+            for text in batch.column(len(keep)).to_pylist():
                 h = np.unique(hashes(text, 5))
-                raw = h.tobytes()
-                fp = b"".join(np.packbits(majority(_spread(h, w))).tobytes() for w in range(WIDE_WORDS)) if not keep else b""
-                out.append((xxhash.xxh3_64_intdigest(raw) - 2**63, fp, len(h), raw if keep else b""))
-            digest, fp, n, grams = zip(*out, strict=True) if out else ((), (), (), ())
-            cols = [batch.column(0), pa.array(digest, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(grams, pa.binary())]
-            yield pa.record_batch(cols[: 4 + keep], ["doc_id", "id", "fp", "n", "grams"][: 4 + keep])
+                least = minhashes(h)
+                ids.append(node_of(h))
+                fps.append(int.from_bytes(np.packbits(majority(h)).tobytes(), "big", signed=True))
+                ns.append(len(h))
+                bands.append([xxhash.xxh3_64_intdigest(v.tobytes(), i) - 2**63 for i, v in enumerate(least.reshape(BANDS, BAND_ROWS))])
+                sketches.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+            cols = [pa.array(ids, pa.binary()), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.record_batch([*batch.columns[: len(keep)], *cols], [*keep, "id", "fp", "n", "bands", "sketch"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp binary, n long" + ", grams binary" * keep)
+    small_batches(rows.sparkSession)
+    named = ", ".join(f"{c} {t}" for c, t in rows.select(*keep).dtypes)
+    return rows.select(*keep, "text").mapInArrow(run, f"{named}, {NODE}")
 
 
-def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar, by all their shingles."""
-    ends = written(nodes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", "least"), "ends")
-    wanted = docs.join(ends.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_least")), "left_semi")
-    sets = shingled(wanted, keep=True).join(ends.select("id"), "id", "left_semi").groupBy("id").agg(F.min("grams").alias("grams"))
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts (text) -> (id, grams): the sets themselves, each once for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(text, 5)) for text in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([node_of(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "grams"])
+
+    return texts.select("text").mapInArrow(run, "id binary, grams binary")
+
+
+def fits(a: str, b: str) -> Column:
+    """By size alone two sets may be similar."""
+    return F.least(a, b) >= SIMILAR * F.greatest(a, b)
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ([np.frombuffer(g, np.uint64) for g in batch.column(c).to_pylist()] for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a binary, b binary")
+
 
+def across(rows: DataFrame) -> DataFrame:
+    """rows (key, id, n, sketch, label) -> pairs (a, b) of equal key and different label whose sizes and sketches allow the similarity."""
 
-def labelled(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """nodes (id, ...) with a column `name`: the component of each under edges (a, b), its own id without any."""
-    label = components(edges).select(F.col("node").alias("id"), F.col("label").alias(name))
-    return nodes.join(label, "id", "left").withColumn(name, F.coalesce(name, "id"))
+    def pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        left = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(key)) - 1
+        at, shift = np.flatnonzero(left > 0), 1
+        while len(at):
+            other = at + shift
+            some = (label[at] != label[other]) & (np.minimum(n[at], n[other]) >= SIMILAR * np.maximum(n[at], n[other]))
+            x, y = at[some], other[some]
+            near = (sketch[x] == sketch[y]).sum(axis=1) >= SKETCH_LEAST
+            yield x[near], y[near]
+            shift += 1
+            at = at[left[at] >= shift]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
 
-def similar(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, component_id): components of texts that share 0.8 of their five-word shingles.
+        def out(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(part).combine_chunks()
+            ids = t.column(1).combine_chunks()
+            label = np.unique(np.array(t.column(4).to_pylist(), object), return_inverse=True)[1] if len(t) else np.zeros(0, int)
+            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(len(t), -1)
+            for x, y in pairs(t.column(0).to_numpy(), t.column(2).to_numpy(), label, sketch):
+                if len(x):
+                    yield pa.record_batch([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= 8 * BLOCK and len(batch):
+                key = batch.column(0).to_numpy()
+                end = int(np.searchsorted(key, key[-1]))  # the last key may go on; cells keep it small
+                if end:
+                    yield from out([*held[:-1], batch.slice(0, end)])
+                    held, rows = [batch.slice(end)], len(batch) - end
+        if held:
+            yield from out(held)
 
-    A node is a set of shingles. Wide fingerprints that meet by a key and differ in at most WIDE_WITHIN bits make a candidate
-    pair; every link is verified on the sets. First each task's forest of least distances is looked at, which joins most of a
-    group; then all other candidate pairs whose ends the first round left in different components. A node without a
-    pair in the forests has no candidate, so only groups of candidates that fell apart meet again.
+    found = rows.repartition("key").sortWithinPartitions("key").select("key", "id", "n", "sketch", "label").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with at least a word each -> (doc_id, t1, t2, id, component): components of texts that share 0.8
+    of their five-word shingles. t1 and t2 are hashes of the text, id and component 128-bit names of sets of shingles.
+
+    A node is a set of shingles. Candidates are pairs with fingerprints in one component of at most 3 bits (the operator's
+    links) and pairs that share a MinHash band. First every node is compared with the least node of each of its
+    groups, which joins groups of copies without looking at all their pairs; then, in bands whose nodes are still in
+    different components, all pairs across these. What comes out is the components of all similar candidates, however
+    the rows are dealt out.
     """
-    prints = written(shingled(docs), "simhash")
-    nodes = written(prints.groupBy("id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "prints")
-    order = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = written(order(links(keyed(nodes.select("id", "fp", "n"), False), WIDE_WITHIN)), "links")
-    near = written(checked(docs, nodes, first), "near")
-    at = written(labelled(labelled(nodes, first, "may"), near, "label"), "parts")
-    apart = at.groupBy("may").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("may")
-    again = written(at.join(apart, "may", "left_semi").select("id", "fp", "n", "label"), "open")
-    rest = written(order(links(keyed(again, False), WIDE_WITHIN, every=True)).join(first, ["a", "b"], "left_anti"), "rest")
-    parts = labelled(nodes, near.union(checked(docs, nodes, rest)), "label")
-    least = parts.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(parts.join(least, "label").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("other"), "text").alias("t2"), F.col("text").cast("string"))
+    prints = written(shingled(rows), "shingled")
+    first = (F.any_value(c).alias(c) for c in ("fp", "n", "bands", "sketch"))
+    nodes = written(prints.groupBy("id").agg(*first, F.min(F.struct("t1", "t2")).alias("text")), "nodes")
+
+    fps = written(nodes.select("fp").distinct(), "fps")
+    by_fp = nodes.select("id", "n", "fp").join(labelled(fps, "fp", linked(fps, 3), "at"), "fp").select("at", "id", "n")
+    by_band = nodes.select(F.explode("bands").alias("at"), "id", "n")
+    several = lambda rows: rows.groupBy("at").agg(F.count("*").alias("many"), F.min(F.struct("id", "n")).alias("least")).where("many > 1")
+    band = written(by_band.join(several(by_band), "at").select("at", "id", "n", "least"), "bands")
+    stars = by_fp.join(several(by_fp), "at").select("id", "n", "least").unionByName(band.select("id", "n", "least"))
+    stars = stars.where(F.col("id") != F.col("least.id")).where(fits("n", "least.n")).select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct()
+    stars = written(stars, "stars")
+
+    wanted = band.select("id").union(stars.select("a")).union(stars.select("b")).distinct()
+    texts = nodes.select("id", "text").join(wanted, "id", "left_semi").select("text.t1", "text.t2")
+    sets = written(shingle_sets(rows.join(texts, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])).dropDuplicates(["id"]), "sets")
+
+    near = written(checked(stars, sets), "near")
+    at = written(labelled(nodes.select("id"), "id", near, "label"), "parts")
+    member = band.select("at", "id", "n").join(at, "id")
+    apart = member.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("at")
+    again = member.join(apart, "at", "left_semi").join(nodes.select("id", "sketch"), "id").select(F.col("at").alias("key"), "id", "n", "sketch", "label")
+    rest = written(across(celled(written(again, "open"), "id", BLOCK)).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        at = labelled(nodes.select("id"), "id", near.unionByName(checked(rest, sets)), "label")
+    return prints.select("doc_id", "t1", "t2", "id").join(at.select("id", F.col("label").alias("component")), "id").select("doc_id", "t1", "t2", "id", "component")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies, the least doc_id of each group (and one of its repeated rows) staying.
+    """The rows of docs without near copies: of each group of `similar` one row stays, that of the least doc_id (a null one
+    is the greatest; of several rows with it that of the least text hash; of equal texts with it any one).
 
-    Groups are those of `similar`. Texts without a word have nothing to compare and stay, but for repeated rows.
+    Texts without a word have nothing to compare and stay. So of a group whose doc_ids are all null one row stays, and of two
+    different texts with one doc_id each is judged in its own group.
     """
-    cols = docs.columns
-    docs = docs.dropDuplicates() if not {k.split("<")[0] for _, k in docs.dtypes} & {"map", "variant"} else docs
-    some = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    found = similar(docs.where(some))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.where(some).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.unionByName(docs.where(~some)).select(*cols)
+    docs, names = shelved(docs, "doc_id", "text")
+    some = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    found = written(similar(docs.where(some)), "similar")
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row")).select("row.*")
+    key = [F.col("doc_id").cast("long").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text"), F.xxhash64(F.lit("other"), "text")]
+    names_of = ["k0", "k1", "k2", "k3"]
+    own = docs.where(some).select("*", *(c.alias(k) for c, k in zip(key, names_of, strict=True)))
+    again = found.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = written(again.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("t1").alias("k2"), F.col("t2").alias("k3")), "again")
+    stay = stay.select(F.col("none").alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("t1").alias("k2"), F.col("t2").alias("k3"))
+    if again.isEmpty():
+        kept = own.join(stay, names_of, "left_semi").select(*docs.columns)
+    else:
+        repeated = stay.join(again, names_of, "left_semi")
+        kept = own.join(stay.join(again, names_of, "left_anti"), names_of, "left_semi").select(*docs.columns)
+        one = Window.partitionBy(*names_of).orderBy(F.lit(0))
+        kept = kept.unionByName(own.join(repeated, names_of, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*docs.columns))
+    return unshelved(kept.unionByName(docs.where(~some)), names)

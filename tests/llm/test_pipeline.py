@@ -58,3 +58,14 @@ def test_foreign_languages_go(spark, sf):
     kept = {r.doc_id for r in pipeline.language(spark, without, sf).collect()}
     rest, gone = ({r.doc_id for r in real.where(c).collect()} for c in ("lang <> 'de'", "lang = 'de'"))
     assert rest <= kept and len(gone & kept) <= 0.1 * len(gone)
+
+
+def test_clashing_columns(spark, sf):
+    """Further columns with the names that operators use inside: every stage returns them as they came."""
+    names = "score _text lang_pred _label label fits phrase_rate _stay stay component id t1 t2 k0 bad _host _lines _good h host cdf rate parts mean size weight copy repetitions _at _source key n none row nth shelved_3".split()
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = real.select("*", *(F.concat(F.lit(n), F.lit("!")).alias(n) for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.count() > 0 and out.where(" and ".join(f"{n} = '{n}!'" for n in names)).count() == out.count(), name

@@ -30,5 +30,21 @@ def test_near_equal(real):
     assert max(loads.values()) < 1.02 * min(loads.values())
 
 
+def test_sixteen_against_plain_scheduling(real):
+    """Loads as near equal as one global run's, up to the largest group; types of the contract."""
+    out = sharding.sharded(real, 16)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint"}
+    groups = Counter()
+    for r in real.collect():
+        groups[r.text or ""] += len((r.text or "").encode()) + 1
+    plain = [0] * 16
+    for size in sorted(groups.values(), reverse=True):
+        plain[plain.index(min(plain))] += size
+    loads = Counter()
+    for r in out.collect():
+        loads[r.shard] += r.size
+    assert len(loads) == 16 and sum(loads.values()) == sum(plain) and abs(max(loads.values()) - max(plain)) <= max(groups.values())
+
+
 def test_empty(none):
     assert sharding.sharded(none).count() == 0

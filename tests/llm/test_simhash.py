@@ -53,9 +53,16 @@ def test_golay_is_perfect():
         assert all(set(x[x >= 0]) & set(y[y >= 0]) for x, y in zip(a[:200], b[:200], strict=True))
 
 
-def test_links_lose_nothing(spark, monkeypatch):
-    """Random fingerprints with planted chains, and one key with more rows than a block."""
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+def signed(f):
+    return f - 2**64 if f >> 63 else f
+
+
+@pytest.mark.parametrize("block", [4, 16, 1024])
+def test_links_lose_nothing(spark, monkeypatch, block):
+    """Random fingerprints with planted chains, and keys with more rows than a block: split by quarters, then by cells."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash.links, "__defaults__", (block,))
+    monkeypatch.setattr(simhash, "ROWS", 500)
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for f in list(fps)[:60]:
@@ -64,16 +71,25 @@ def test_links_lose_nothing(spark, monkeypatch):
             fps.add(f)
     centre = rng.getrandbits(64)
     fps |= {centre ^ (1 << b) ^ (1 << c) for b in range(12) for c in range(12)}
-    prints = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in enumerate(sorted(fps))], "doc_id long, fp binary").repartition(4)
+    prints = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(sorted(fps))], "doc_id long, fp long").repartition(4)
     got = defaultdict(set)
-    for r in simhash.grouped(prints, 3, True).collect():
-        got[r.component_id].add(int.from_bytes(r.fp, "big"))
+    for r in simhash.grouped(prints, 3).collect():
+        got[r.component_id].add(r.fp % 2**64)
     want = defaultdict(set)
     for n, c in joined(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 3).items():
         want[c].add(n)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_a_sorted_path(spark):
+    """A path of ascending ids ends in one component after a few rounds."""
+    from quirebase.llm.shared import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(5000, 5001), (7, 7)], "a long, b long")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(range(3001), 0), 5000: 5000, 5001: 5000}
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
@@ -91,20 +107,27 @@ def test_stage_keeps_one_of_each_group(spark):
     assert len(kept) == len(set(kept)) and {group[d] for d in kept} == set(range(60)) and len(kept) <= 63
 
 
-def test_similar_texts_against_brute_force(spark, sf):
-    """Every text that goes shares 0.8 of its shingles with one of its group, and of all such pairs few are missed."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    shingles = {}
-    for r in docs.collect():
-        words = (r.text or "").lower().split()
-        shingles[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else None
-    ids = sorted(d for d, s in shingles.items() if s)
-    pairs = [(a, b) for a in ids for b in ids if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
-    near = set(pairs)
-    comp = joined(ids, lambda a, b: (a, b) in near)
-    got = {r.doc_id: r.component_id for r in simhash.similar(docs.where("length(trim(text)) > 0")).collect()}
-    assert set(got) == set(ids) and all(comp[d] == comp[c] for d, c in got.items())
-    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 0
+def sets_of(rows):
+    return {d: frozenset(simhash.hashes(t, 5).tolist()) for d, t in rows}
+
+
+def share(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+@pytest.mark.parametrize("partitions", ["4", "64"])
+def test_similar_texts_against_brute_force(spark, sf, partitions):
+    """The components of all similar pairs, the same at any number of partitions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(trim(text)) > 0")
+    sets = sets_of([(r.doc_id, r.text) for r in docs.collect()])
+    comp = joined(sorted(sets), lambda a, b: share(sets[a], sets[b]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.doc_id: r.component for r in simhash.similar(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({(comp[d], bytes(got[d])) for d in sets}) == len(set(comp.values())) == len({bytes(c) for c in got.values()})
 
 
 def test_least_forest():
@@ -135,8 +158,10 @@ def test_odd_and_empty(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id in (7, 8, 9)").count() == 1
 
 
-def test_stage_looks_at_every_candidate(spark):
-    """Templated pages, many of them just under the similarity: components are those of all candidate pairs, not of a forest's."""
+@pytest.mark.parametrize("block", [8, 1024])
+def test_stage_looks_at_every_candidate(spark, monkeypatch, block):
+    """Templated pages, many of them just under the similarity: the components are those of all similar pairs, in bands split into cells too."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(11)
     rows = []
     for _ in range(12):
@@ -147,17 +172,24 @@ def test_stage_looks_at_every_candidate(spark):
                 text[at] = "x" + str(rng.random())
             rows.append((len(rows), " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.similar(docs).collect()}
-    sets = {d: np.unique(simhash.hashes(t, 5)) for d, t in rows}
-    fp = {d: np.frombuffer(f, np.uint8) for d, (f, _) in got.items()}
-    keys = {d: {(k, c) for k, (w, n) in enumerate(simhash._segments(f[None, :], 23)) for c in simhash.near_codewords(w, n)[0].tolist() if c >= 0} for d, f in fp.items()}
-    near = lambda a, b: np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.WIDE_WITHIN and keys[a] & keys[b]
-    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8
-    comp = joined(sorted(got), lambda a, b: near(a, b) and share(a, b))
-    least = {}
-    for d in sorted(got):
-        least.setdefault(comp[d], d)
-    assert {d: c for d, (_, c) in got.items()} == {d: least[comp[d]] for d in got}
+    sets = sets_of(rows)
+    comp = joined(sorted(sets), lambda a, b: share(sets[a], sets[b]))
+    got = {r.doc_id: bytes(r.component) for r in simhash.similar(docs).collect()}
+    assert len({(comp[d], got[d]) for d in sets}) == len(set(comp.values())) == len(set(got.values()))
+
+
+def test_null_and_shared_ids(spark):
+    """Of copies without an id one stays; of two texts with one id each is judged in its own group."""
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = say(100), say(100), say(100)
+    rows = [(None, a), (None, a + " end"), (None, a), (5, b), (5, c), (3, c + " end"), (9, b), (None, ""), (4, None), (9, b)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _stay string, component string").repartition(3)
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    (own,) = [r for r in kept if r[0] is None and r[1]]
+    assert own[1] in (a, a + " end") and sorted([r for r in kept if r != own], key=str) == sorted([(5, b), (3, c + " end"), (None, ""), (4, None)], key=str)
 
 
 def test_stage_compares_sets(spark):
@@ -167,5 +199,5 @@ def test_stage_compares_sets(spark):
     rows = [(i, "spam " * 900 + say(120)) for i in range(4)]
     p, q = say(60), say(60)
     rows += [(10, " ".join([p] * 9 + [q])), (11, " ".join([p] + [q] * 9 + [p, q])), (12, p + " " + q)]
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10, 12: 10}
+    got = {r.doc_id: bytes(r.component) for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i] for i in (0, 1, 2, 3, 10)}) == 5 and got[10] == got[11] == got[12]
