@@ -12,8 +12,11 @@ only the suffixes that begin at anchors (one unit in (L - K + 2) / 2) have to be
    on L - d units to the right and d to the left of their anchors;
 5. the runs of repeated windows go back to their documents, which drop the units that these cover.
 
-Gram hashes only choose what is compared; equality is always decided on the text itself. A gram with more than HOT
-distinct anchors is split further, by the whole window: its windows are counted by 128-bit hash, map-side first.
+Gram hashes only choose what is compared; equality of windows is decided on the text itself (whole copies of a text are
+known by 128 bits of hash). A gram that a task meets often is salted by the text's hash before anything is shuffled. A
+gram with more than HOT distinct anchors gets longer prefixes: the windows' distances to the anchor are halved, and in each
+half the anchors are dealt by all the units that its windows have in common, again and again until groups fit. At the
+end a group has one window, and its occurrences are counted map-side.
 The filter of step 3 that keeps other documents' texts out of the shuffle has at most BLOOM bits at any size of corpus;
 its false positives only cost time.
 """
@@ -32,6 +35,8 @@ from .shared import small_batches, written
 
 HOT = 20_000
 BLOOM = 1 << 25
+#: A gram that a task has met so often is salted; counters are shared by grams of equal leading bits, which only salts more.
+OFTEN, SALTS, COUNTERS = 16, 1024, 1 << 20
 #: Units hashed at once, leaves compared at once.
 SPAN, LEAVES = 1 << 18, 30_000
 _U = np.uint64
@@ -94,6 +99,9 @@ class Bytes:
     def cut(self, doc, a: int, b: int) -> bytes:
         return doc[0][a:b]
 
+    def cut_loaded(self, cut: bytes) -> tuple[bytes, np.ndarray | None]:
+        return cut, None
+
     def kept(self, doc, gone: np.ndarray) -> bytes:
         return np.frombuffer(doc[0], np.uint8)[~gone].tobytes()
 
@@ -125,6 +133,10 @@ class Words:
     def cut(self, doc, a: int, b: int) -> bytes:
         return doc[0][doc[1][a] : doc[1][b] - 1]
 
+    def cut_loaded(self, cut: bytes) -> tuple[bytes, np.ndarray | None]:
+        spaces = np.flatnonzero(np.frombuffer(cut, np.uint8) == 32)
+        return cut, np.concatenate([[0], spaces + 1, [len(cut) + 1]])
+
     def kept(self, doc, gone: np.ndarray) -> bytes:
         words = doc[0].split(b" ") if doc[0] else []
         return b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])
@@ -245,18 +257,32 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"did": F.coalesce("doc_id", F.lit(-(2**63))), "t1": F.xxhash64("text")})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(COUNTERS, np.int32)
+        names = ["h", "salt", "did", "t1", "loc"]
         for batch in batches:
             did, t1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             loaded = [unit.load(t) for t in batch.column(2).to_pylist()]
             for i, h, pos, lo, hi in anchors(unit, loaded):
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(did[i]), pa.array(t1[i]), pa.array(packed(pos, lo, hi))], ["h", "did", "t1", "loc"])
-
-    found = rows.select("did", "t1", "text").mapInArrow(find, "h long, did long, t1 long, loc long")
-    one = Window.partitionBy("h").orderBy("t1", "loc", "did")
+                at = (h >> _U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+                np.add.at(met, at, 1)
+                salt = np.where(met[at] >= OFTEN, 1 + (t1[i] & (SALTS - 1)), 0)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(salt), pa.array(did[i]), pa.array(t1[i]), pa.array(packed(pos, lo, hi))], names)
+                salted = np.unique(h[salt > 0]).view(np.int64)
+                if len(salted):  # tells the unsalted rows of the gram that it has others
+                    none = pa.array(np.zeros(len(salted), np.int64))
+                    yield pa.record_batch([pa.array(salted), none, none, none, pa.array(np.full(len(salted), -1))], names)
+
+    found = rows.select("did", "t1", "text").mapInArrow(find, "h long, salt long, did long, t1 long, loc long")
+    one = Window.partitionBy("h", "salt").orderBy("t1", "loc", "did")
     found = found.withColumn("copy", F.lag("t1").over(one).eqNullSafe(F.col("t1")) & F.lag("loc").over(one).eqNullSafe(F.col("loc"))).where(~F.col("copy"))
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    marks = written(found.groupBy("did", "t1").agg(F.collect_list(F.struct("h", "loc", (F.col("n") > HOT).alias("hot"))).alias("at")), "marks")
-
+    found = found.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("(n > 1 or salt > 0) and loc >= 0")
+    found = written(found.select("h", "did", "t1", "loc", "n", "salt"), "anchors")
+    hot = found.where(f"salt > 0 or n > {HOT}").select("h").distinct()
+    hot = found.join(hot, "h", "left_semi").groupBy("h").agg(F.count("*").alias("all")).where(f"all > {HOT}")
+    found = found.join(written(hot, "hot").select("h", F.lit(True).alias("hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    marks = written(found.groupBy("did", "t1").agg(F.collect_list(F.struct("h", "loc", "hot")).alias("at")), "marks")
+
+    hot_marks = marks.where(F.exists("at", lambda a: a["hot"]))
     total = marks.count()
     bits = 1 << max(16, min((16 * total).bit_length(), BLOOM.bit_length() - 1))
     bit = F.explode(F.array(F.pmod(F.xxhash64("did"), F.lit(bits)), F.pmod(F.xxhash64(F.lit(1), "did"), F.lit(bits))))
@@ -337,25 +363,51 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
         if held:
             yield flush(held)
 
-    leaves = cut(False, leaf, "h long, did long, t1 long, loc long, cut binary")
-    spans = leaves.repartition("h").sortWithinPartitions("h").mapInArrow(judge, SPANS)
-    if not marks.where(F.exists("at", lambda a: a["hot"])).isEmpty():
+    schema = "h long, did long, t1 long, loc long, cut binary"
 
-        def one_window_each(h, did, t1, loc, cuts) -> pa.RecordBatch:
-            out = []
-            for c, d, t, (p, lo, hi) in zip(cuts, did.tolist(), t1.tolist(), zip(*(x.tolist() for x in unpacked(loc)), strict=True), strict=True):
-                doc = unit.load(c.decode("utf-8", "surrogatepass")) if isinstance(unit, Words) else (c, None)
-                for i in range(hi - lo + 1):
-                    digest = hashlib.blake2b(unit.cut(doc, i, i + unit.window), digest_size=16).digest()
-                    out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), d, t, p - hi + i))
-            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["w1", "w2", "did", "t1", "start"])
-
-        windows = cut(True, one_window_each, "w1 long, w2 long, did long, t1 long, start long")
-        least = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
-        hot = windows.join(least, ["w1", "w2"])
-        if first_stays:
-            hot = hot.where(F.struct("did", "t1", "start") > F.col("first"))
-        spans = spans.unionByName(hot.select("did", "t1", "start", F.lit(1).cast("long").alias("windows")))
+    def judged(leaves: DataFrame) -> DataFrame:
+        return leaves.repartition("h").sortWithinPartitions("h").mapInArrow(judge, SPANS)
+
+    def halved(leaves: DataFrame, width: int) -> DataFrame:
+        """Each leaf once for every `width` of its windows' distances to the anchor, dealt by the units these windows share."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for batch in (big.slice(i, 4096) for i in range(0, len(big), 4096)):
+                    out = []
+                    pos, lo, hi = (x.tolist() for x in unpacked(batch.column(3).to_numpy()))
+                    for j, (h, did, t1, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
+                        doc = unit.cut_loaded(c)
+                        for x in range(lo[j] // width * width, hi[j] + 1, width):
+                            a, b = max(lo[j], x), min(hi[j], x + width - 1)
+                            shared = unit.cut(doc, hi[j] - x, hi[j] + unit.window - x - width + 1)
+                            key = hashlib.blake2b(shared, digest_size=8, salt=(h % 2**64).to_bytes(8, "big") + x.to_bytes(8, "big")).digest()
+                            loc = int(packed(np.int64(pos[j]), np.int64(a), np.int64(b)))
+                            out.append((int.from_bytes(key, "big", signed=True), did, t1, loc, unit.cut(doc, hi[j] - b, hi[j] + unit.window - a)))
+                    yield leaf(*(list(c) for c in (zip(*out, strict=True) if out else [[]] * 5)))
+
+        return leaves.mapInArrow(run, schema)
+
+    spans = judged(cut(False, leaf, schema))
+    if not hot_marks.isEmpty():
+        leaves, width = cut(True, leaf, schema), 1 << (unit.window - unit.gram).bit_length()
+        while width > 1:
+            width //= 2
+            leaves = written(halved(leaves, width), "leaves")
+            if width > 1:
+                large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
+                if large.isEmpty():
+                    spans = spans.unionByName(judged(leaves))
+                    break
+                spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
+                leaves = leaves.join(large, "h", "left_semi")
+        else:  # one window each: equal cuts are equal windows
+            windows = leaves.select("cut", "did", "t1", (F.shiftright("loc", 20) - F.col("loc").bitwiseAND(F.lit(1023))).alias("start"))
+            least = windows.groupBy("cut").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
+            again = windows.join(least, "cut")
+            if first_stays:
+                again = again.where(F.struct("did", "t1", "start") > F.col("first"))
+            spans = spans.unionByName(again.select("did", "t1", "start", F.lit(1).cast("long").alias("windows")))
 
     spans = spans.groupBy("did", "t1").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
     names = rows.select("did", "t1", F.xxhash64(F.lit("other"), "text").alias("t2"))

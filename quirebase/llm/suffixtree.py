@@ -1,10 +1,10 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-The sparse suffixes (see repeats) are dealt by a prefix: the anchor's gram. Prefixes with few suffixes travel together
-in runs that fit in memory, one prefix with too many is split by longer prefixes, up to the whole window. Each run
-builds its part of the tree from the top, level by level: a node of depth r holds the suffixes that agree on r units,
-a node of one suffix is a leaf and is not followed further. Internal nodes of a tree to the right and of one to the left
-that together span a whole window are the maximal repeats that matter.
+The sparse suffixes (see repeats) are dealt by prefixes of variable length: the anchor's gram, and where too many suffixes
+share it, longer ones, up to the whole window, until every group fits in memory. Groups travel together in runs. Of a run
+the sorted suffixes and their common extensions with their neighbours give the tree with compressed paths: an internal node
+is a stretch of suffixes that share more units than their parent's. Deep internal nodes of the tree to the right and of
+the one to the left that together span a whole window are the maximal repeats that matter.
 
 Defined cases: null and empty texts have no words and nothing removed; documents shorter than a window stay whole;
 exact copies and repeated rows of at least a window go whole, in every copy; a null doc_id is kept; an empty table gives
@@ -19,26 +19,45 @@ from pyspark.sql import DataFrame
 from . import repeats
 
 
+def tree(units: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """units (n, depth), sequences padded with -1 after their size -> their sorted order and the internal nodes of each group's tree.
+
+    A node is (first, last, depth, parent's depth): the sequences from first to last in order share depth units, and the
+    edge to it has those after the parent's depth (-1 above a root).
+    """
+    order = np.lexsort((*units.T[::-1], group))
+    sorted_units, sizes = units[order], size[order]
+    same = sorted_units[1:] == sorted_units[:-1]
+    common = np.where(same.all(axis=1), units.shape[1], same.argmin(axis=1)) if len(same) and units.shape[1] else np.zeros(max(0, len(order) - 1), np.int64)
+    common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
+    common[group[order][1:] != group[order][:-1]] = -1
+    nodes: list[tuple[int, int, int, int]] = []
+    path: list[tuple[int, int]] = []  # open nodes from the root: depth, first
+    for i, depth in enumerate([*common.tolist(), -1]):
+        first = i
+        while path and path[-1][0] > depth:
+            own, first = path.pop()
+            nodes.append((first, i, own, max(depth, path[-1][0] if path else -1)))
+        if depth >= 0 and (not path or path[-1][0] < depth):
+            path.append((depth, first))
+    return order, nodes
+
+
 def nodes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.ndarray, depth: int, step: int) -> list[np.ndarray]:
-    """out[r][i]: the internal node of depth r above sequence i, or -1 where it is alone or ends before.
+    """out[r][i]: the internal node on or under whose edge sequence i has its first r units, or -1 where it is alone or ends before.
 
     Sequence i is values[begin[i]], values[begin[i] + step], ... up to but not including end[i].
     """
-    size = (end - begin) * step
-    out = []
-    node = np.full(len(begin), -1, np.int32)
-    alive, key = np.arange(len(begin)), group.astype(np.int64)
-    for r in range(depth + 1):
-        if r:
-            alive = alive[size[alive] >= r]
-            key = node[alive].astype(np.int64) * (int(values.max(initial=0)) + 1) + values[begin[alive] + step * (r - 1)]
-        _, number, count = np.unique(key, return_inverse=True, return_counts=True)
-        shared = count[number] > 1
-        alive = alive[shared]
-        node = np.full(len(begin), -1, np.int32)
-        node[alive] = number[shared]
-        out.append(node)
-    return out
+    size = np.minimum((end - begin) * step, depth)
+    inside = np.arange(depth) < size[:, None]
+    units = np.where(inside, values[np.where(inside, begin[:, None] + step * np.arange(depth), 0)], -1) if depth and len(values) else np.zeros((len(begin), 0), np.int64)
+    order, inner = tree(units, size, group)
+    deep = np.full((depth + 1, len(begin)), -1, np.int32)
+    for number, (first, last, own, above) in enumerate(inner):
+        deep[above + 1 : own + 1, first : last + 1] = number
+    out = np.empty_like(deep)
+    out[:, order] = deep
+    return list(out)
 
 
 def without_repeats(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:

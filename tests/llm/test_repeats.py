@@ -82,9 +82,11 @@ def test_bytes(which, request):
     same([r for r in suffixarray.without_later_repeats(docs).collect() if r.doc_id in known], [r for r in brute_bytes(rows, 100) if r[0] in known])
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_pasted_and_hot(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "often"), [(20_000, 16), (20_000, 2), (3, 16), (40, 1)])
+def test_pasted_and_hot(spark, monkeypatch, hot, often):
+    """With salted grams, and with prefixes that grow until groups fit."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "OFTEN", often)
     rows = pasted(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     same(suffixtree.without_repeats(docs, 12, 4).collect(), brute_words(rows, 12))
@@ -131,5 +133,19 @@ def test_both_structures_agree_with_slices(order):
                     assert {j for j in range(80) if fits[j] and out[r][j] == out[r][i]} == mates
 
 
+def test_tree_nodes():
+    """Every internal node is a maximal repeat: its sequences share its depth, and no two of its children the next unit."""
+    rng = np.random.default_rng(3)
+    units, size = rng.integers(0, 2, (60, 10)), rng.integers(0, 11, 60)
+    units[np.arange(10) >= size[:, None]] = -1
+    group = rng.integers(0, 2, 60)
+    order, inner = suffixtree.tree(units, size, group)
+    assert len({(a, b) for a, b, _, _ in inner}) == len(inner)
+    for first, last, depth, above in inner:
+        own = order[first : last + 1]
+        assert len(own) > 1 and above < depth and len({(group[i], *units[i, :depth].tolist()) for i in own}) == 1
+        assert depth == 10 or len({(units[i, depth], i if units[i, depth] < 0 else 0) for i in own}) > 1
+
+
 def test_empty(none):
     assert suffixtree.without_repeats(none).count() == 0 and suffixarray.without_later_repeats(none).count() == 0
