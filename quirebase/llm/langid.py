@@ -4,20 +4,22 @@ A suffix automaton of each language's labelled text tells, from any place of a d
 has. Parsing a document greedily into such longest matches needs few phrases under its own language and many under
 others. The language with the fewest phrases per symbol wins (equal ones: the first by name).
 
-Parsing runs in lock step: the automata become tables (state, symbol) -> state, documents are cut into pieces of PIECE
-symbols, and one gather moves all pieces of all languages by a symbol. A piece's parse starts afresh, for every
-language alike. Symbols are lower-case letters; everything between letters is one separator.
+Symbols are the UTF-8 bytes of lower-case letters, so letters of all scripts stay apart; everything between letters is one
+separator. Transitions are kept sparse, in one array per language by row displacement: a state is a place in the array,
+its transition by symbol s is at the place s further on, and holds the state as its owner. Languages may be many
+and their letters too. Parsing runs in lock step: documents are cut into pieces of PIECE symbols, and two gathers move
+all pieces of all languages by a symbol. A piece's parse starts afresh, for every language alike.
 
 Training is the fit of a classifier on a bounded sample: per language TRAIN_DOCS documents, those of least
-xxhash64(doc_id), of each the first TRAIN_CHARS symbols. The sample (not the tables) is what workers receive.
+xxhash64(doc_id), of each a stretch of TRAIN_CHARS characters that begins at a place chosen by hash. The sample (not the
+automata) is what workers receive.
 
 Defined cases: null text and text without a letter is `und` with score 0; without any labelled text all is `und`;
-repeated rows get equal answers; letters that no sample has are one symbol of their own; an empty table gives no rows.
+repeated rows get equal answers; bytes that no sample has are one symbol of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,7 @@ TRAIN_DOCS, TRAIN_CHARS = 64, 500
 USUAL_DOCS, USUAL_CHARS = 256, 1000
 #: Of those rates the quantile, and the allowance on it, up to which a text fits the language; without any such document the bound.
 USUAL, ALLOWANCE, FOREIGN = 0.99, 1.25, 0.5
-#: States x symbols that the tables of all languages may have together; more languages get shorter samples.
-CELLS = 12_000_000
-SYMBOLS = 96
-PIECE = 1024
+PIECE = 4096
 
 
 def _kinds() -> np.ndarray:
@@ -53,13 +52,13 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case code points of the letters, each run of anything else as one 0."""
+    """UTF-8 bytes of the lower-case letters, each run of anything else as one 0."""
     if not _LETTERS:
         _LETTERS.append(_kinds())
     raw = _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     keep = raw != 0
     keep[1:] |= raw[:-1] != 0
-    return raw[keep]
+    return np.frombuffer(raw[keep].astype("<u4").tobytes().decode("utf-32-le", "replace").encode("utf-8"), np.uint8)
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -92,37 +91,77 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def displaced(states: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each state, owner, next): the transition of state i by symbol c is at place[i] + c, where owner is place[i] and next the
+    place it leads to. Places are unique and from 0; states with many transitions are placed first, those with one fill the gaps."""
+    size = 2 * sum(map(len, states)) + 2 * len(states) + 2 * width
+    taken, used, place = np.zeros(size, bool), set(), np.zeros(len(states), np.int64)
+    order = sorted(range(len(states)), key=lambda i: -len(states[i]))
+    single = next((k for k, i in enumerate(order) if len(states[i]) <= 1), len(order))
+    rng = np.random.default_rng(len(states))
+    for i in order[:single]:
+        symbols = np.array(list(states[i]))
+        while True:  # a fraction of the array is taken, so few draws are needed
+            draw = rng.integers(0, size - width, 32)
+            fit = [d for d in draw[~taken[draw[:, None] + symbols].any(axis=1)].tolist() if d not in used]
+            if fit:
+                break
+        place[i] = fit[0]
+        used.add(fit[0])
+        taken[fit[0] + symbols] = True
+    free = iter(np.flatnonzero(~taken[width:]) + width)
+    rest = []
+    for i in order[single:]:
+        if not states[i]:
+            rest.append(i)
+            continue
+        (c,) = states[i]
+        slot = next(s for s in free if s - c not in used)
+        place[i] = slot - c
+        used.add(int(slot - c))
+        taken[slot] = True
+    spare = iter(p for p in range(size) if p not in used)
+    for i in rest:
+        place[i] = next(spare)
+    end = int(place.max(initial=0)) + width
+    owner, following = np.full(end, -1, np.int64), np.zeros(end, np.int64)
+    for i, t in enumerate(states):
+        for c, to in t.items():
+            owner[place[i] + c] = place[i]
+            following[place[i] + c] = place[to]
+    return place, owner, following
+
+
 class CrossParser:
-    """All languages' automata in one table of next states, premultiplied; a negative entry ends a phrase."""
+    """All languages' automata one behind the other in one array of owners and one of next states."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         texts = {k: [letters(t) for t in v] for k, v in samples.items()}
-        count = Counter(c for v in texts.values() for t in v for c in t.tolist() if c)
-        known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        #: 0: separator; 1: any letter that isn't known.
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[1:] = 1
+        known = np.unique(np.concatenate([t for v in texts.values() for t in v] or [np.zeros(0, np.uint8)]))
+        known = known[known > 0]
+        #: 0: separator; 1: any byte that no sample has.
+        self.symbol = np.ones(256, np.int64)
+        self.symbol[0] = 0
         self.symbol[known] = np.arange(2, 2 + len(known))
         self.width = 2 + len(known)
-        each = max(1000, CELLS // (2 * self.width * max(1, len(self.langs))))
-        rows: list[tuple[int, dict[int, int]]] = []
-        self.starts: list[int] = []
+        owners, nexts, starts, firsts, base = [], [], [], [], 0
+        zero = np.zeros(1, np.uint8)
         for lang in self.langs:
-            joined = np.concatenate([np.concatenate([[0], t, [0]]) for t in texts[lang]])[:each]
-            root = len(rows)
-            rows += [(root, t) for t in automaton(self.symbol[joined].tolist())]
-            rows.append((root, {}))  # no match goes on from here: before the first symbol, and after one the language lacks
-            self.starts.append(len(rows) - 1)
-        table = np.full((len(rows), self.width), -1, np.int32)
-        for i, (root, t) in enumerate(rows):
-            for c, to in t.items():
-                table[i, c] = (root + to) * self.width
-        first = table[np.array([r for r, _ in rows], np.int64)]
-        ends = {r: i for i, (r, _) in enumerate(rows)}  # the last row of each language is its start
-        start = np.array([ends[r] for r, _ in rows], np.int32)[:, None] * self.width
-        # where no match goes on, a new phrase starts with the symbol: ~ (the state it leads to)
-        self.table = np.where(table >= 0, table, ~np.where(first >= 0, first, start)).astype(np.int32).ravel()
+            joined = np.concatenate([x for t in texts[lang] for x in (zero, t, zero)])
+            # The state behind the last one has no transitions: before the first symbol, and after one the language lacks.
+            states = [*automaton(self.symbol[joined].tolist()), {}]
+            place, owner, following = displaced(states, self.width)
+            owners.append(np.where(owner >= 0, owner + base, -1))
+            nexts.append(following + base)
+            starts.append(base + place[-1])
+            firsts.append([base + place[states[0].get(c, -1)] for c in range(self.width)])
+            base += len(owner)
+        self.owner = np.concatenate(owners or [np.zeros(0)]).astype(np.int32)
+        self.next = np.concatenate(nexts or [np.zeros(0)]).astype(np.int32)
+        self.starts = np.array(starts, np.int32)
+        #: (languages, symbols): where no match goes on, the state that a new phrase with the symbol leads to.
+        self.first = np.array(firsts, np.int32).reshape(len(self.langs), self.width)
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """(docs, languages): phrases each document needs."""
@@ -135,18 +174,17 @@ class CrossParser:
             block = np.zeros((size[0], len(part)), np.int32)
             for k, (_, p) in enumerate(part):
                 block[: len(p), k] = self.symbol[p]
-            state = np.repeat(np.array(self.starts, np.int32)[:, None] * self.width, len(part), axis=1)
+            state = np.repeat(self.starts[:, None], len(part), axis=1)
             count = np.zeros(state.shape, np.int32)
             live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right").tolist()
             for row, n in zip(block, live, strict=True):
                 if n < state.shape[1]:
                     np.add.at(total, [i for i, _ in part[n : state.shape[1]]], count[:, n:].T)
                     state, count = state[:, :n].copy(), count[:, :n].copy()
-                state += row[:n]
-                state = self.table.take(state)
-                ended = state >> 31
-                count -= ended
-                state ^= ended
+                at = state + row[:n]
+                ended = self.owner.take(at) != state
+                count += ended
+                state = np.where(ended, self.first.take(row[:n], axis=1), self.next.take(at))
             np.add.at(total, [i for i, _ in part[: state.shape[1]]], count.T)
         return total
 
@@ -181,8 +219,10 @@ def parser_of(samples: dict[str, list[str]]) -> CrossParser:
 def _ranked(docs: DataFrame, chars: int, least: int, most: int) -> DataFrame:
     """Rows (lang, text, i) of the labelled documents, i from least to most by hash in each language. Spark keeps the least rows of each language before the shuffle."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("at"), F.substring("text", 1, TRAIN_CHARS).alias("_head"))
-    top = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "_head"))).where(F.col("i") <= most)
+    own = F.col("doc_id").cast("string")
+    begin = F.pmod(F.xxhash64(F.lit("begin"), own), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", F.substring("text", begin, F.lit(chars)).alias("text"), F.xxhash64(own).alias("at"), F.xxhash64("text").alias("of"))
+    top = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "of"))).where(F.col("i") <= most)
     return top.where(F.col("i") >= least).select("lang", "text", "i")
 
 

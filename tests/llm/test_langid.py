@@ -20,7 +20,7 @@ def test_parse_against_greedy_substrings():
     say = lambda abc, n: "".join(rng.choice(list(abc), n))
     samples = {"x": [say("abcd ", 200), say("abcd", 50)], "y": [say("cdef ", 300)]}
     parser = langid.CrossParser(samples)
-    docs = [say("abcdefg ", n) for n in (1, 7, 900, 1500, 2500)] + [say("abcd ", 700)]
+    docs = [say("abcdefg ", n) for n in (1, 7, 900, 5000, 9000)] + [say("abcd ", 700)]
     seqs = [langid.letters(t) for t in docs]
     got = parser.phrases(seqs)
     for i, seq in enumerate(seqs):
@@ -46,3 +46,25 @@ def test_undetermined(odd, none, spark):
     assert len(rows) == odd.count() and {r.lang_pred for r in rows} <= {"und", "en", "de", "ja"}
     assert langid.languages(none).count() == 0
     assert {r.lang_pred for r in langid.languages(odd.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_scripts_of_many_letters(spark):
+    """Languages of thousands of letters, and many languages at once: every letter counts, none is merged with another."""
+    rng = np.random.default_rng(6)
+    sets = {f"k{i}": [chr(0x4E00 + 500 * i + j) for j in range(800)] for i in range(12)} | {f"a{i}": [chr(0x61 + (5 * i + j) % 26) for j in range(9)] for i in range(4)}
+    words = {k: ["".join(rng.choice(v, rng.integers(1, 4))) for _ in range(400)] for k, v in sets.items()}
+    rows = [(i, " ".join(rng.choice(words[k], 80)), k, "s", 0) for i, k in enumerate(list(sets) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r.doc_id: (r.lang_pred, r.held_out) for r in langid.languages(docs).collect()}
+    held = [r for r in rows if got[r[0]][1]]
+    assert len(held) > 50 and sum(got[r[0]][0] == r[2] for r in held) >= 0.98 * len(held)
+
+
+def test_transitions_are_whole():
+    rng = np.random.default_rng(7)
+    states = langid.automaton(rng.integers(0, 30, 3000).tolist())
+    place, owner, following = langid.displaced(states, 30)
+    assert len(set(place.tolist())) == len(states)
+    for i in range(0, len(states), 17):
+        found = {c: following[place[i] + c] for c in range(30) if owner[place[i] + c] == place[i]}
+        assert found == {c: place[to] for c, to in states[i].items()}
