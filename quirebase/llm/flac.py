@@ -536,6 +536,23 @@ def seek(media: bytes, sample: int) -> tuple[int, int]:
     return points[-1][0], info["frames"] + points[-1][1]
 
 
+def sought(media: list[bytes], samples: list[int]) -> list[tuple[int, np.ndarray]]:
+    """(first sample, samples) of the frame that the last seek point at or before a sample leads to, for each of many streams of
+    this encoder; nothing else of a stream is decoded."""
+    points = [seek(m, s) for m, s in zip(media, samples, strict=True)]
+    cuts = [m[byte : byte + 2 * BLOCK] for m, (_, byte) in zip(media, points, strict=True)]
+    ends = np.cumsum([len(c) for c in cuts])
+    begin = ends - np.array([len(c) for c in cuts], np.int64)
+    buf = np.frombuffer(b"".join(cuts), np.uint8)
+    lead = buf[begin + 4]
+    size = np.where(lead < 128, 1, 8 - np.array([(~v & 255).bit_length() for v in lead.tolist()], np.int64))
+    try:
+        pcm = _Frames(buf).decode(begin + 4 + size + 1)
+    except NotImplementedError:
+        return [(at, decode([m])[0][at : at + BLOCK]) for m, (at, _) in zip(media, points, strict=True)]
+    return [(at, x.astype(np.int8)) for (at, _), x in zip(points, pcm, strict=True)]
+
+
 # --- operators ------------------------------------------------------------------------------------------------------
 
 
@@ -599,18 +616,26 @@ def feature(pcm: np.ndarray) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> the contract's columns, all from the stored bytes read back."""
+    """(doc_id, n_bytes, media) -> the contract's columns, all from the stored bytes read back; and n_blocks, the PCM blocks that
+    `blocks` cuts, seek_sample and seek_crc32: the frame that the seek table gives for the middle sample, decoded by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for part in _bounded(batch.column(2).to_pylist(), len):
-                for m, pcm in zip(part, decode(part), strict=True):
+                whole = decode(part)
+                frames = sought(part, [len(pcm) // 2 for pcm in whole])
+                for m, pcm, (at, frame) in zip(part, whole, frames, strict=True):
+                    if not np.array_equal(pcm[at : at + BLOCK], frame):
+                        raise ValueError("the seek table leads astray")
                     data = (pcm.view(np.uint8) ^ 128).tobytes()
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(pcm)))
+                    seeks = -(-len(pcm) // (SEEK_EVERY * BLOCK)), at, zlib.crc32((frame.view(np.uint8) ^ 128).tobytes())
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(pcm), *seeks))
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.record_batch([batch.column(0), batch.column(1), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.record_batch([batch.column(0), batch.column(1), *cols], names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, seek_sample long, seek_crc32 long"
+    names = [c.split()[0] for c in schema.split(", ")]
     return media.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import flac, langid, linededup, mixing, packing, sharding, simhash, suffixarray, suffixtree, winnow
+from .shared import written
 
 
 def tokenizer() -> str:
@@ -17,7 +18,7 @@ def tokenizer() -> str:
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.stored(table(spark, sf_dir, "documents")))
+    return flac.digests(written(flac.stored(table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,16 @@ def test_blocks_and_seeking(spark, real, none):
             clear = head[: 4 + 4 + 13] + bytes([head[21] & 0xF0]) + bytes(4) + bytes(16) + head[42:]
             assert flac.decode_plain(clear + m[byte:])[sample - at, 0] == np.frombuffer(pcm, np.int8)[sample]
     assert flac.digests(flac.stored(none)).count() == 0 and flac.blocks(flac.stored(none)).count() == 0
+
+
+def test_query_seeks(spark, sf):
+    """The registered query: stored, read back, and the middle sample's frame decoded by itself."""
+    from quirebase.llm.queries import op1_flac
+
+    rows = {r.doc_id: r for r in op1_flac(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert set(rows) == set(docs)
+    for d, r in rows.items():
+        p = flac.payload(docs[d])
+        assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.seek_crc32 == zlib.crc32(p[r.seek_sample : r.seek_sample + flac.BLOCK])
+        assert r.seek_sample <= len(p) // 2 < r.seek_sample + flac.SEEK_EVERY * flac.BLOCK and r.n_blocks == -(-len(p) // (flac.SEEK_EVERY * flac.BLOCK))
