@@ -110,29 +110,38 @@ ORDERS = np.array([0, 1, 2, LPC])
 TYPES = np.array([8 << 1, 9 << 1, 10 << 1, (32 + LPC - 1) << 1])
 
 
+def _rice(r: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals after `order` warm-up samples -> their values as Rice codes them, each partition's parameter, and its bits."""
+    u = np.where(r < 0, -2 * r - 1, 2 * r)
+    u[:, :order] = 0
+    part = u.reshape(len(u), 1 << PARTS, -1)
+    count = np.full((1, 1 << PARTS), BLOCK >> PARTS)
+    count[0, 0] -= order
+    middle = np.log2(np.maximum(part.sum(axis=2) / count, 1)).astype(np.int64)
+    tried = [np.clip(middle + d, 0, 14) for d in (-1, 0, 1)]
+    bits = np.stack([(part >> k[:, :, None]).sum(axis=2) + count * (k + 1) for k in tried])
+    best = bits.argmin(axis=0)
+    return u, np.choose(best, tried), np.choose(best, bits)
+
+
 def _encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x: (frames, BLOCK) samples -> all frames' bytes, and each frame's size."""
+    """x: (frames, BLOCK) samples -> all frames' bytes, and each frame's size; of the predictors the one that takes the fewest bits."""
     f = len(x)
     heads = [_header(n) for n in number.tolist()]
     head = np.array([len(h) for h in heads])
     coef, _ = _predictors(x)
-    res = _residuals(x, coef)
-    cost = np.stack([np.abs(r[:, LPC:]).sum(axis=1) for r in res])
-    cost[3] += (LPC * (PRECISION + 8) + 9) // 2
+    coded_as = [_rice(r, int(o)) for r, o in zip(_residuals(x, coef), ORDERS, strict=True)]
+    weights = np.array([0, 0, 0, 9 + LPC * PRECISION])
+    cost = np.stack([bits.sum(axis=1) for _, _, bits in coded_as]) + (8 * ORDERS + weights)[:, None]
     kind = cost.argmin(axis=0)
-    r = np.choose(kind[:, None], res)
     order = ORDERS[kind]
-    u = np.where(r < 0, -2 * r - 1, 2 * r)
+    u = np.choose(kind[:, None], [c[0] for c in coded_as])
+    k = np.choose(kind[:, None], [c[1] for c in coded_as])
     coded = np.arange(BLOCK) >= order[:, None]
-    u[~coded] = 0
-    part = u.reshape(f, 1 << PARTS, -1)
-    count = coded.reshape(f, 1 << PARTS, -1).sum(axis=2)
-    bits = np.stack([(part >> k).sum(axis=2) + count * (k + 1) for k in range(15)])
-    k = bits.argmin(axis=0)
     width = BLOCK >> PARTS
+    pre = 8 + 8 * order + weights[kind] + 6
+    total = 8 + 6 + 4 * (1 << PARTS) + cost.min(axis=0)
     kk = np.repeat(k, width, axis=1)
-    pre = 8 + 8 * order + np.where(kind == 3, 9 + LPC * PRECISION, 0) + 6
-    total = pre + 4 * (1 << PARTS) + np.take_along_axis(bits, k[None], 0)[0].sum(axis=1)
     constant = (x == x[:, :1]).all(axis=1)
     verbatim = ~constant & (total >= 8 + 8 * BLOCK)
     total = np.where(constant, 16, np.where(verbatim, 8 + 8 * BLOCK, total))
@@ -202,8 +211,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         pcm = (np.frombuffer(p, np.uint8) ^ 128).tobytes()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | c * BLOCK).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-        seek = b"".join(struct.pack(">QQH", i * BLOCK, int(rel[i]), BLOCK) for i in range(0, c, SEEK_EVERY))
-        out.append(b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + flat[at:end])
+        # The first frame needs no seek point, and a stream without others no table.
+        seek = b"".join(struct.pack(">QQH", i * BLOCK, int(rel[i]), BLOCK) for i in range(SEEK_EVERY, c, SEEK_EVERY))
+        table = b"\x83" + len(seek).to_bytes(3, "big") + seek if seek else b""
+        out.append(b"fLaC" + (b"\0" if seek else b"\x80") + len(info).to_bytes(3, "big") + info + table + flat[at:end])
         at, frame = end, frame + c
     return out
 

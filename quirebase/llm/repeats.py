@@ -12,11 +12,12 @@ only the suffixes that begin at anchors (one unit in (L - K + 2) / 2) have to be
    on L - d units to the right and d to the left of their anchors;
 5. the runs of repeated windows go back to their documents, which drop the units that these cover.
 
-Gram hashes only choose what is compared; equality of windows is decided on the text itself (whole copies of a text are
-known by 128 bits of hash). A gram that a task meets often is salted by the text's hash before anything is shuffled. A
-gram with more than HOT distinct anchors gets longer prefixes: the windows' distances to the anchor are halved, and in each
-half the anchors are dealt by all the units that its windows have in common, again and again until groups fit. At the
-end a group has one window, and its occurrences are counted map-side.
+Gram hashes only choose what is compared; in groups that fit in memory the text itself decides whether windows are equal
+(whole copies of a text are known by 128 bits of hash). A gram that a task meets often is salted by the text's hash before
+anything is shuffled. The prefix that deals a suffix out is as long as the counts ask for: the gram; for a gram with more
+than HOT distinct anchors all the units that the windows of one half of the distances to the anchor have in common; and
+where more than HOT share those too, as in a passage that very many documents have, the whole window: a deep node whose
+leaves are only counted, map-side first, by 128 bits of hash.
 The filter of step 3 that keeps other documents' texts out of the shuffle has at most BLOOM bits at any size of corpus;
 its false positives only cost time.
 """
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import removed, small_batches, written
 
 HOT = 20_000
 BLOOM = 1 << 25
 #: A gram that a task has met so often is salted; counters are shared by grams of equal leading bits, which only salts more.
-OFTEN, SALTS, COUNTERS = 16, 1024, 1 << 20
+OFTEN, SALTS, COUNTERS = 64, 1024, 1 << 20
 #: Units hashed at once, leaves compared at once.
 SPAN, LEAVES = 1 << 18, 30_000
 _U = np.uint64
@@ -257,7 +258,7 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"did": F.coalesce("doc_id", F.lit(-(2**63))), "t1": F.xxhash64("text")})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros(COUNTERS, np.int32)
+        met, told = np.zeros(COUNTERS, np.int32), set()
         names = ["h", "salt", "did", "t1", "loc"]
         for batch in batches:
             did, t1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -267,20 +268,22 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
                 np.add.at(met, at, 1)
                 salt = np.where(met[at] >= OFTEN, 1 + (t1[i] & (SALTS - 1)), 0)
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(salt), pa.array(did[i]), pa.array(t1[i]), pa.array(packed(pos, lo, hi))], names)
-                salted = np.unique(h[salt > 0]).view(np.int64)
-                if len(salted):  # tells the unsalted rows of the gram that it has others
-                    none = pa.array(np.zeros(len(salted), np.int64))
-                    yield pa.record_batch([pa.array(salted), none, none, none, pa.array(np.full(len(salted), -1))], names)
+                new = set(np.unique(h[salt > 0]).view(np.int64).tolist()) - told
+                if new:  # tells the unsalted rows of the gram that it has others
+                    told |= new
+                    none = pa.array(np.zeros(len(new), np.int64))
+                    yield pa.record_batch([pa.array(sorted(new)), none, none, none, pa.array(np.full(len(new), -1))], names)
 
     found = rows.select("did", "t1", "text").mapInArrow(find, "h long, salt long, did long, t1 long, loc long")
     one = Window.partitionBy("h", "salt").orderBy("t1", "loc", "did")
     found = found.withColumn("copy", F.lag("t1").over(one).eqNullSafe(F.col("t1")) & F.lag("loc").over(one).eqNullSafe(F.col("loc"))).where(~F.col("copy"))
     found = found.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("(n > 1 or salt > 0) and loc >= 0")
-    found = written(found.select("h", "did", "t1", "loc", "n", "salt"), "anchors")
-    hot = found.where(f"salt > 0 or n > {HOT}").select("h").distinct()
-    hot = found.join(hot, "h", "left_semi").groupBy("h").agg(F.count("*").alias("all")).where(f"all > {HOT}")
-    found = found.join(written(hot, "hot").select("h", F.lit(True).alias("hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    found = written(found.select("h", "did", "t1", "loc"), "anchors")
+    hot = found.groupBy("h").agg(F.count("*").alias("all")).where(f"all > {HOT}")
+    anchored, hot = found, written(hot, "hot")
+    found = found.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     marks = written(found.groupBy("did", "t1").agg(F.collect_list(F.struct("h", "loc", "hot")).alias("at")), "marks")
+    removed(anchored, hot)
 
     hot_marks = marks.where(F.exists("at", lambda a: a["hot"]))
     total = marks.count()
@@ -388,26 +391,29 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
 
         return leaves.mapInArrow(run, schema)
 
+    def one_window_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in (big.slice(i, 4096) for i in range(0, len(big), 4096)):
+                out = []
+                pos, lo, hi = (x.tolist() for x in unpacked(batch.column(3).to_numpy()))
+                for j, (did, t1, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True)):
+                    doc = unit.cut_loaded(c)
+                    for i in range(hi[j] - lo[j] + 1):
+                        digest = hashlib.blake2b(unit.cut(doc, i, i + unit.window), digest_size=16).digest()
+                        out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), did, t1, pos[j] - hi[j] + i))
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["w1", "w2", "did", "t1", "start"])
+
     spans = judged(cut(False, leaf, schema))
     if not hot_marks.isEmpty():
-        leaves, width = cut(True, leaf, schema), 1 << (unit.window - unit.gram).bit_length()
-        while width > 1:
-            width //= 2
-            leaves = written(halved(leaves, width), "leaves")
-            if width > 1:
-                large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
-                if large.isEmpty():
-                    spans = spans.unionByName(judged(leaves))
-                    break
-                spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
-                leaves = leaves.join(large, "h", "left_semi")
-        else:  # one window each: equal cuts are equal windows
-            windows = leaves.select("cut", "did", "t1", (F.shiftright("loc", 20) - F.col("loc").bitwiseAND(F.lit(1023))).alias("start"))
-            least = windows.groupBy("cut").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
-            again = windows.join(least, "cut")
-            if first_stays:
-                again = again.where(F.struct("did", "t1", "start") > F.col("first"))
-            spans = spans.unionByName(again.select("did", "t1", "start", F.lit(1).cast("long").alias("windows")))
+        leaves = written(halved(cut(True, leaf, schema), (1 << (unit.window - unit.gram).bit_length()) // 2), "leaves")
+        large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
+        spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
+        windows = leaves.join(large, "h", "left_semi").mapInArrow(one_window_each, "w1 long, w2 long, did long, t1 long, start long")
+        least = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
+        again = windows.join(least, ["w1", "w2"])
+        if first_stays:
+            again = again.where(F.struct("did", "t1", "start") > F.col("first"))
+        spans = spans.unionByName(again.select("did", "t1", "start", F.lit(1).cast("long").alias("windows")))
 
     spans = spans.groupBy("did", "t1").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
     names = rows.select("did", "t1", F.xxhash64(F.lit("other"), "text").alias("t2"))

@@ -34,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,21 +84,24 @@ def components(edges: DataFrame) -> DataFrame:
         hook = written(hook, "hook")
         while True:
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            hook = written(hook.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "halved")
+            halved = written(hook.select("u", "p").join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "halved")
+            removed(hook)
+            hook = halved
             if hook.where("moved").isEmpty():
                 break
-            hook = hook.select("u", "p")
-        hook = hook.select("u", "p")
+        to = hook.select("u", "p")
         if labels is None:
-            labels = hook.select(F.col("u").alias("node"), F.col("p").alias("label"))
+            found = written(to.select(F.col("u").alias("node"), F.col("p").alias("label")), "labels")
         else:
-            to = hook.select(F.col("u").alias("label"), "p")
-            labels = labels.join(to, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        labels = written(labels, "labels")
+            found = written(labels.join(to.withColumnRenamed("u", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            removed(labels)
+        labels, rest = found, edges
         for end in ("a", "b"):
-            edges = edges.join(hook.select(F.col("u").alias(end), F.col("p").alias("to")), end).drop(end).withColumnRenamed("to", end)
-        edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = written(edges, "edges")
+            rest = rest.join(to.select(F.col("u").alias(end), F.col("p").alias("to")), end).drop(end).withColumnRenamed("to", end)
+        rest = rest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = written(rest, "edges")
+        removed(edges, hook)
+        edges = rest
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -290,6 +290,8 @@ SIMILAR, BANDS, BAND_ROWS = 0.8, 20, 5
 #: A byte of each value makes a sketch of 100. Pairs whose sketches agree on fewer than this many are not looked up: at a
 #: similarity of 0.8 that is 6 standard errors below the mean.
 SKETCH_LEAST = 56
+#: Rounds in which the nodes of a band that are still apart are compared with one of them, another one each round, before all pairs are.
+STARS = 4
 _ODD = np.random.default_rng(20260101).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -419,14 +421,15 @@ def similar(docs: DataFrame) -> DataFrame:
 
     A node is a set of shingles. Candidates are pairs with fingerprints in one component of at most 3 bits (the operator's
     links) and pairs that share a MinHash band. First every node is compared with the least node of each of its
-    groups, which joins groups of copies without looking at all their pairs; then, in bands whose nodes are still in
-    different components, all pairs across these. What comes out is the components of all similar candidates, however
+    groups, then with others that a hash chooses, which joins groups of copies without looking at all their pairs; then, in
+    bands whose nodes are still in different components, all pairs across these are. What comes out is the components of all similar candidates, however
     the rows are dealt out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("other"), "text").alias("t2"), F.col("text").cast("string"))
     prints = written(shingled(rows), "shingled")
     first = (F.any_value(c).alias(c) for c in ("fp", "n", "bands", "sketch"))
-    nodes = written(prints.groupBy("id").agg(*first, F.min(F.struct("t1", "t2")).alias("text")), "nodes")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row")
+    nodes = written(prints.groupBy("id").agg(*first, row), "nodes")
 
     fps = written(nodes.select("fp").distinct(), "fps")
     by_fp = nodes.select("id", "n", "fp").join(labelled(fps, "fp", linked(fps, 3), "at"), "fp").select("at", "id", "n")
@@ -434,21 +437,38 @@ def similar(docs: DataFrame) -> DataFrame:
     several = lambda rows: rows.groupBy("at").agg(F.count("*").alias("many"), F.min(F.struct("id", "n")).alias("least")).where("many > 1")
     band = written(by_band.join(several(by_band), "at").select("at", "id", "n", "least"), "bands")
     stars = by_fp.join(several(by_fp), "at").select("id", "n", "least").unionByName(band.select("id", "n", "least"))
-    stars = stars.where(F.col("id") != F.col("least.id")).where(fits("n", "least.n")).select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct()
+    stars = stars.where(F.col("id") != F.col("least.id")).where(fits("n", "least.n")).select(F.least("id", "least.id").alias("a"), F.greatest("id", "least.id").alias("b")).distinct()
     stars = written(stars, "stars")
 
     wanted = band.select("id").union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = nodes.select("id", "text").join(wanted, "id", "left_semi").select("text.t1", "text.t2")
-    sets = written(shingle_sets(rows.join(texts, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])).dropDuplicates(["id"]), "sets")
+    texts = nodes.select("id", "row").join(wanted, "id", "left_semi").select("row.none", F.coalesce("row.doc_id", F.lit(0)).alias("known"), "row.t1", "row.t2")
+    keyed_rows = rows.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("known"), "t1", "t2", "text")
+    sets = written(shingle_sets(keyed_rows.join(texts, ["none", "known", "t1", "t2"], "left_semi")).dropDuplicates(["id"]), "sets")
 
     near = written(checked(stars, sets), "near")
-    at = written(labelled(nodes.select("id"), "id", near, "label"), "parts")
-    member = band.select("at", "id", "n").join(at, "id")
-    apart = member.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("at")
-    again = member.join(apart, "at", "left_semi").join(nodes.select("id", "sketch"), "id").select(F.col("at").alias("key"), "id", "n", "sketch", "label")
-    rest = written(across(celled(written(again, "open"), "id", BLOCK)).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        at = labelled(nodes.select("id"), "id", near.unionByName(checked(rest, sets)), "label")
+    for again in range(1, STARS + 1):
+        at = written(labelled(nodes.select("id"), "id", near, "label"), "parts")
+        member = band.select("at", "id", "n").join(at, "id")
+        centre = F.min_by(F.struct("id", "n", "label"), F.struct(F.xxhash64(F.lit(again), "id"), "id")).alias("centre")
+        apart = member.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre).where("lo <> hi").select("at", "centre")
+        open_ = written(member.join(apart, "at"), "open")
+        more = open_.where(F.col("label") != F.col("centre.label")).where(fits("n", "centre.n"))
+        more = more.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+        tried = written(more.join(stars, ["a", "b"], "left_anti"), "more")
+        found = written(checked(tried, sets), "near")
+        if found.isEmpty():
+            break
+        near, stars = near.unionByName(found), stars.unionByName(tried)
+    else:
+        at = written(labelled(nodes.select("id"), "id", near, "label"), "parts")
+        member = band.select("at", "id", "n").join(at, "id")
+        apart = member.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("at")
+        open_ = written(member.join(apart, "at"), "open")
+    last = open_.join(nodes.select("id", "sketch"), "id").select(F.col("at").alias("key"), "id", "n", "sketch", "label")
+    rest = written(across(celled(written(last, "last"), "id", BLOCK)).join(stars, ["a", "b"], "left_anti"), "rest")
+    found = written(checked(rest, sets), "near")
+    if not found.isEmpty():
+        at = labelled(nodes.select("id"), "id", near.unionByName(found), "label")
     return prints.select("doc_id", "t1", "t2", "id").join(at.select("id", F.col("label").alias("component")), "id").select("doc_id", "t1", "t2", "id", "component")
 
 

@@ -1,7 +1,7 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-The sparse suffixes (see repeats) are dealt by prefixes of variable length: the anchor's gram, and where too many suffixes
-share it, longer ones, up to the whole window, until every group fits in memory. Groups travel together in runs. Of a run
+The sparse suffixes (see repeats) are dealt by prefixes of variable length: the anchor's gram, where too many suffixes for
+memory share it a longer one, and at last the whole window. Groups travel together in runs. Of a run
 the sorted suffixes and their common extensions with their neighbours give the tree with compressed paths: an internal node
 is a stretch of suffixes that share more units than their parent's. Deep internal nodes of the tree to the right and of
 the one to the left that together span a whole window are the maximal repeats that matter.
