@@ -226,8 +226,9 @@ def x51_options(d: Dialect) -> str:
 @plan
 def f45_lines_outside_rects(d: Dialect) -> str:
     """Blocks rebuilt from the lines whose centre no formula box (class 3) holds; blocks left empty go."""
-    held = "EXISTS (SELECT 1 FROM boxes r WHERE r.page = l.page AND r.cls = 3 AND (l.x1 + l.x2) / 2 BETWEEN r.x1 AND r.x2 AND (l.y1 + l.y2) / 2 BETWEEN r.y1 AND r.y2)"
-    return f"WITH {BOXES}, kept AS (SELECT * FROM boxes l WHERE cls <> 3 AND NOT {held}) SELECT page, min(x1) AS x, min(y1) AS y, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h, count(*) AS lines FROM kept GROUP BY page"
+    centred = "l.page = r.page AND (l.x1 + l.x2) / 2 >= r.x1 AND (l.x1 + l.x2) / 2 <= r.x2 AND (l.y1 + l.y2) / 2 >= r.y1 AND (l.y1 + l.y2) / 2 <= r.y2"
+    anti = f"SELECT l.* FROM lines_ l LEFT ANTI JOIN rects r ON {centred}" if d.spark else f"SELECT * FROM lines_ l ANTI JOIN rects r ON {centred}"
+    return f"WITH {BOXES}, lines_ AS (SELECT * FROM boxes WHERE cls <> 3), rects AS (SELECT page, x1, x2, y1, y2 FROM boxes WHERE cls = 3), kept AS ({anti}) SELECT page, min(x1) AS x, min(y1) AS y, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h, count(*) AS lines FROM kept GROUP BY page"
 
 
 @plan
