@@ -92,7 +92,7 @@ def a41_fast_nms(d: Dialect) -> str:
 
 
 @plan
-def j05_j08_j32_nearest_block(d: Dialect) -> str:
+def j05_nearest_block(d: Dialect) -> str:
     """First block that contains a point (margin 3), else the nearest within 28."""
     return f"WITH {BOXES}, points AS (SELECT DISTINCT l_orderkey AS page, CAST(l_orderkey % 100 AS DOUBLE) AS px, CAST(l_orderkey * 3 % 90 AS DOUBLE) AS py FROM lineitem), c AS (SELECT p.page, b.det, CASE WHEN px BETWEEN x1 - 3 AND x2 + 3 AND py BETWEEN y1 - 3 AND y2 + 3 THEN 0 ELSE 1 END AS outside, abs(px - (x1 + x2) / 2) + abs(py - (y1 + y2) / 2) AS dist FROM points p JOIN boxes b ON p.page = b.page), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY outside, CASE WHEN outside = 0 THEN 0e0 ELSE dist END, det, dist) AS k FROM c WHERE outside = 0 OR dist <= 28) SELECT page, det, outside, dist FROM r WHERE k = 1"
 
@@ -107,13 +107,6 @@ def j23_outcome_merge(d: Dialect) -> str:
     return f"WITH {BOXES}, outcome AS (SELECT page, det, CASE WHEN det % 3 = 0 THEN NULL ELSE 'latex' END AS latex FROM boxes WHERE cls < 3) SELECT b.page, count(CASE WHEN latex IS NOT NULL THEN 1 END) AS recognised, count(CASE WHEN latex IS NULL THEN 1 END) AS unrecognised, count(CASE WHEN cls < 2 THEN 1 END) AS formula, count(CASE WHEN cls = 2 THEN 1 END) AS tables FROM boxes b LEFT JOIN outcome o ON b.page = o.page AND b.det = o.det GROUP BY b.page"
 
 
-@plan
-def j24_a30_a46_matching(d: Dialect) -> str:
-    """Odd detections are predictions, even ones truths: best match of each prediction, then of each truth."""
-    iou = f"({INTER}) / ({AREA.format('a')} + {AREA.format('b')} - {INTER})"
-    return f"WITH {BOXES}, m AS (SELECT a.page, a.det AS p, b.det AS t, a.cls AS pc, b.cls AS tc, {iou} AS iou FROM boxes a JOIN boxes b ON a.page = b.page AND a.det % 2 = 1 AND b.det % 2 = 0), r1 AS (SELECT *, row_number() OVER (PARTITION BY page, p ORDER BY iou DESC, t) AS k FROM m WHERE iou > 0.1e0), r2 AS (SELECT *, row_number() OVER (PARTITION BY page, t ORDER BY iou DESC, p) AS k2 FROM r1 WHERE k = 1) SELECT pc, tc, count(*) AS n, count(CASE WHEN pc = tc THEN 1 END) AS tp FROM r2 WHERE k2 = 1 GROUP BY pc, tc"
-
-
 @plan
 def j26_f14_windows_of_objects(d: Dialect) -> str:
     return f"WITH {BOXES}, w AS (SELECT 0e0 AS wx, 0e0 AS wy UNION ALL SELECT 64e0 AS wx, 0e0 AS wy UNION ALL SELECT 0e0 AS wx, 64e0 AS wy UNION ALL SELECT 64e0 AS wx, 64e0 AS wy) SELECT page, det, wx, wy, greatest(least(x2, wx + 64) - greatest(x1, wx), 0e0) * greatest(least(y2, wy + 64) - greatest(y1, wy), 0e0) / (w * h) AS iof FROM (SELECT b.*, wx, wy FROM boxes b CROSS JOIN w) q WHERE greatest(least(x2, wx + 64) - greatest(x1, wx), 0e0) * greatest(least(y2, wy + 64) - greatest(y1, wy), 0e0) >= 0.7e0 * (w * h)"
@@ -181,7 +174,7 @@ def t08_profile_cap(d: Dialect) -> str:
 
 
 @plan
-def a25_m22_annotation_counts(d: Dialect) -> str:
+def a25_annotation_counts(d: Dialect) -> str:
     return f"WITH {NOTES} SELECT doc, count(*) AS notes, count(DISTINCT block_id) AS blocks FROM notes WHERE text <> '' GROUP BY doc"
 
 
@@ -201,7 +194,7 @@ def j30_x49_note_keys(d: Dialect) -> str:
 
 
 @plan
-def j28_j29_missing(d: Dialect) -> str:
+def j29_not_shared(d: Dialect) -> str:
     """J29: for each document the accounts that it isn't shared with; accounts are the records' owners."""
     return f"WITH {RECORDS}, {SHARES}, accounts AS (SELECT DISTINCT owner AS who FROM records WHERE owner <> '') SELECT r.id, a.who FROM records r CROSS JOIN accounts a LEFT JOIN (SELECT DISTINCT id, who FROM shares WHERE who <> '') s ON r.id = s.id AND a.who = s.who WHERE s.id IS NULL"
 
@@ -257,7 +250,7 @@ def x34_j10_j11_translation_plan(d: Dialect) -> str:
 
 
 @plan
-def j12_j13_a24_layout_diff(d: Dialect) -> str:
+def j13_layout_diff(d: Dialect) -> str:
     return f"WITH b AS ({d.lines()}), old AS (SELECT doc_id, blk, text FROM b WHERE blk % 5 <> 0), new AS (SELECT doc_id, blk, CASE WHEN blk % 3 = 0 THEN upper(text) ELSE text END AS text FROM b WHERE blk % 7 <> 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, count(CASE WHEN o.blk IS NOT NULL AND n.blk IS NOT NULL AND o.text <> n.text THEN 1 END) AS changed, count(CASE WHEN o.blk IS NULL THEN 1 END) AS added, count(CASE WHEN n.blk IS NULL THEN 1 END) AS gone FROM old o FULL OUTER JOIN new n ON o.doc_id = n.doc_id AND o.blk = n.blk GROUP BY coalesce(o.doc_id, n.doc_id)"
 
 
@@ -267,7 +260,7 @@ def x04_x20_x46_normalised(d: Dialect) -> str:
 
 
 @plan
-def f20_f21_x13_heading_level(d: Dialect) -> str:
+def f20_f21_heading_level(d: Dialect) -> str:
     num = "regexp_extract(t, '^([0-9]+([.][0-9]+)*)', 1)"
     return f"WITH b AS (SELECT doc_id, blk, CAST(1 + blk % 3 AS VARCHAR(20)) || CASE WHEN blk % 2 = 0 THEN '.' || CAST(doc_id % 9 AS VARCHAR(20)) ELSE '' END || ' ' || text AS t FROM ({d.lines()}) q) SELECT doc_id, blk, CASE WHEN {num} = '' THEN 2 ELSE least(4, {d.size(f'split({num}, {chr(39)}[.]{chr(39)})') if d.spark else d.size(f'split({num}, {chr(39)}.{chr(39)})')}) END AS level FROM b"
 
@@ -284,20 +277,10 @@ def x10_estimated_lines(d: Dialect) -> str:
 
 
 @plan
-def x22_f27_f28_plain_math(d: Dialect) -> str:
+def f27_f28_mathish(d: Dialect) -> str:
     return f"WITH b AS ({d.lines()}) SELECT doc_id, blk, {d.count('text', '[A-Za-z]{4,}')} AS long_words, {d.count('text', '[A-Za-z]{4,}')} <= 1 AND text <> '' AS mathish, {d.rx('text', '[A-Za-z0-9]')} AS has_glyphs FROM b"
 
 
-@plan
-def x13_x14_x15_html(d: Dialect) -> str:
-    return f"SELECT page_id, {d.count('html', '<p[ >]')} AS paragraphs, {d.count('html', '<a ')} AS links, CAST(length({d.sub('html', '<[^>]*>', '')}) AS INTEGER) AS text_length, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"
-
-
-@plan
-def x23_x40_positions(d: Dialect) -> str:
-    return f"WITH b AS ({d.lines()}) SELECT doc_id, blk, CAST({'locate' if d.spark else 'strpos'}({'chr(32), text' if d.spark else 'text, chr(32)'}) AS INTEGER) AS first_blank, CAST(length(text) - length(replace(text, 'th', '')) AS INTEGER) AS th FROM b"
-
-
 @plan
 def x41_x42_masks(d: Dialect) -> str:
     return f"SELECT c_custkey, substring(c_name, 1, 3) || '***' || substring(c_name, length(c_name) - 2, 3) AS key_, {d.sub(chr(39) + 'mongodb://' + chr(39) + ' || c_name || ' + chr(39) + ':secret@host/db' + chr(39), ':[^:@/]*@', ':***@')} AS uri FROM customer"
@@ -379,7 +362,7 @@ def w14_filled_edges(d: Dialect) -> str:
 
 
 @plan
-def w11_w12_w26_w31_islands(d: Dialect) -> str:
+def w11_w26_w31_islands(d: Dialect) -> str:
     """Runs of blocks of one kind."""
     return f"WITH b AS (SELECT doc_id, blk, length(text) > 80 AS long_ FROM ({d.lines()}) q), c AS (SELECT *, CASE WHEN long_ = lag(long_) OVER (PARTITION BY doc_id ORDER BY blk) THEN 0 ELSE 1 END AS change FROM b), s AS (SELECT *, sum(change) OVER (PARTITION BY doc_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c) SELECT doc_id, CAST(run AS BIGINT) AS run, min(blk) AS from_, max(blk) AS to_, max(CASE WHEN long_ THEN 1 ELSE 0 END) AS long_ FROM s GROUP BY doc_id, run"
 
@@ -390,7 +373,7 @@ def w09_f53_gap_spaces(d: Dialect) -> str:
 
 
 @plan
-def w10_a12_a13_dominant(d: Dialect) -> str:
+def w10_dominant(d: Dialect) -> str:
     return f"WITH b AS ({d.lines()}), r AS (SELECT doc_id, blk, h, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, blk) AS k FROM b) SELECT doc_id, blk, h FROM r WHERE k = 1"
 
 
@@ -409,7 +392,7 @@ def w16_w17_region(d: Dialect) -> str:
 
 
 @plan
-def w18_w19_anchors(d: Dialect) -> str:
+def w18_anchors(d: Dialect) -> str:
     return f"WITH b AS ({d.lines()}) SELECT doc_id, blk, substring(lag(text) OVER (PARTITION BY doc_id ORDER BY blk), 1, 16) AS before_, substring(lead(text) OVER (PARTITION BY doc_id ORDER BY blk), 1, 16) AS after_ FROM b WHERE length(text) >= 4"
 
 
@@ -424,20 +407,9 @@ def a43_smoothing(d: Dialect) -> str:
     return f"WITH {TRACKS} SELECT event_id, round(avg(value) OVER (PARTITION BY track ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM frames"
 
 
-@plan
-def s07_s08_grounded_records(d: Dialect) -> str:
-    """Record lines open an item, other lines join it."""
-    return f"WITH b AS (SELECT doc_id, blk, text, length(text) > 60 OR blk = 0 AS rec FROM ({d.lines()}) q), s AS (SELECT *, sum(CASE WHEN rec THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS item FROM b) SELECT doc_id, CAST(item AS BIGINT) AS item, count(*) AS lines, md5({d.glue('text', 'chr(32)', 'blk')}) AS digest FROM s GROUP BY doc_id, item"
-
-
 # --- citations -----------------------------------------------------------------------------------------------------------
 
 
-@plan
-def a03_a04_x09_entries(d: Dialect) -> str:
-    return f"WITH {CITES} SELECT doc, count(*) AS entries, max(n) AS last, count(CASE WHEN n <= 12 THEN 1 END) >= 3 AS numbered FROM entries GROUP BY doc"
-
-
 @plan
 def j01_j02_x05_a07_u01_numeric_citations(d: Dialect) -> str:
     """[a, b-c] tokens expanded (a range only to 40 long), joined to the first entry of each number."""
@@ -447,12 +419,7 @@ def j01_j02_x05_a07_u01_numeric_citations(d: Dialect) -> str:
 
 
 @plan
-def j03_j04_x06_author_year(d: Dialect) -> str:
-    return f"WITH {CITES}, seg AS (SELECT doc, 2000 + CAST(doc % 25 AS INTEGER) AS year FROM body) SELECT s.doc, s.year, e.entry, e.n FROM seg s JOIN entries e ON s.doc = e.doc AND s.year = e.year"
-
-
-@plan
-def u02_z03_fallback(d: Dialect) -> str:
+def u02_fallback(d: Dialect) -> str:
     return f"WITH {CITES}, goto_ AS (SELECT doc, n, entry FROM entries WHERE entry % 5 = 0), text_ AS (SELECT doc, n, entry FROM entries WHERE n <= 2) SELECT doc, n, entry FROM goto_ UNION ALL SELECT t.doc, t.n, t.entry FROM text_ t LEFT JOIN (SELECT DISTINCT doc FROM goto_) g ON t.doc = g.doc WHERE g.doc IS NULL"
 
 
@@ -460,32 +427,22 @@ def u02_z03_fallback(d: Dialect) -> str:
 
 
 @plan
-def a27_a28_a47_m07_session_stats(d: Dialect) -> str:
+def a27_a28_session_stats(d: Dialect) -> str:
     return f"WITH {TRACKS} SELECT track, count(*) AS submitted, count(CASE WHEN k % 7 = 0 THEN 1 END) AS failed, min(ts) AS created, max(ts) AS updated, max_by(cls, event_id) AS last_kind FROM frames GROUP BY track"
 
 
 @plan
-def a29_a48_metrics(d: Dialect) -> str:
+def a29_metrics(d: Dialect) -> str:
     return f"WITH {TRACKS} SELECT 'events_total' || chr(123) || 'type=' || cls || chr(125) || ' ' || CAST(count(*) AS VARCHAR(20)) AS line FROM frames GROUP BY cls"
 
 
-@plan
-def a35_a36_a37_w24_line_crossings(d: Dialect) -> str:
-    return f"WITH {TRACKS}, p AS (SELECT track, event_id, ts, value, lag(value) OVER (PARTITION BY track ORDER BY ts, event_id) AS before_ FROM frames), c AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ts, event_id) AS k FROM p WHERE before_ < 50 AND value >= 50) SELECT track, event_id, round(value - before_, 6) AS jump FROM c WHERE k = 1"
-
-
-@plan
-def a34_region_counts(d: Dialect) -> str:
-    return f"WITH {TRACKS} SELECT cls, count(CASE WHEN value < 25 THEN 1 END) AS r1, count(CASE WHEN value BETWEEN 25 AND 75 THEN 1 END) AS r2, count(DISTINCT CASE WHEN value > 75 THEN track END) AS r3 FROM frames GROUP BY cls"
-
-
 @plan
 def w23_track_history(d: Dialect) -> str:
     return f"WITH {TRACKS}, r AS (SELECT track, event_id, value, row_number() OVER (PARTITION BY track ORDER BY ts DESC, event_id DESC) AS k FROM frames) SELECT track, event_id, value FROM r WHERE k <= 30"
 
 
 @plan
-def m01_m02_micro_batches(d: Dialect) -> str:
+def m01_micro_batches(d: Dialect) -> str:
     """Batches of at most 8 items, or those of one window of an hour from the batch's hour on."""
     return f"WITH {TRACKS}, s AS (SELECT event_id, cls, date_trunc('hour', ts) AS hour_, row_number() OVER (PARTITION BY cls, date_trunc('hour', ts) ORDER BY ts, event_id) AS i FROM frames) SELECT event_id, cls, CAST(floor((i - 1) / 8) AS BIGINT) AS batch FROM s"
 
@@ -497,22 +454,6 @@ def m08_m09_m13_sessions(d: Dialect) -> str:
     return f"WITH {TRACKS}, g AS (SELECT track, event_id, ts, CASE WHEN {gap} OR lag(ts) OVER (PARTITION BY track ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new_ FROM frames), s AS (SELECT *, sum(new_) OVER (PARTITION BY track ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_ FROM g) SELECT track, CAST(session_ AS BIGINT) AS session_no, count(*) AS requests, min(ts) AS first_, max(ts) AS last_ FROM s GROUP BY track, session_"
 
 
-@plan
-def m12_m21_lockout(d: Dialect) -> str:
-    return f"WITH {TRACKS}, c AS (SELECT event_id, track, count(*) OVER (PARTITION BY track ORDER BY ts RANGE BETWEEN INTERVAL '300' MINUTE PRECEDING AND CURRENT ROW) AS failures FROM frames WHERE cls <> 'purchase') SELECT event_id, track, failures, failures >= 2 AS locked FROM c"
-
-
 @plan
 def m17_latest_version(d: Dialect) -> str:
-    return f"WITH {TRACKS} SELECT track, max_by(event_id, event_id) AS rev, count(*) AS versions FROM frames GROUP BY track"
-
-
-@plan
-def a31_a32_a44_precision_curve(d: Dialect) -> str:
-    return f"WITH {BOXES}, s AS (SELECT cls, page, det, conf, CASE WHEN (page + det) % 3 = 0 THEN 0 ELSE 1 END AS tp FROM boxes), c AS (SELECT cls, page, det, sum(tp) OVER (PARTITION BY cls ORDER BY conf DESC, page, det ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp, row_number() OVER (PARTITION BY cls ORDER BY conf DESC, page, det) AS k FROM s), p AS (SELECT cls, page, det, k, ctp / CAST(k AS DOUBLE) AS precision_ FROM c) SELECT cls, page, det, round(max(precision_) OVER (PARTITION BY cls ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS envelope FROM p"
-
-
-@plan
-def x36_x35_sse(d: Dialect) -> str:
-    v = "CAST(get_json_object(props, '$.k') AS INTEGER)" if d.spark else "CAST(json_extract_string(props, '$.k') AS INTEGER)"
-    return f"SELECT event_id, {v} AS k FROM events WHERE {v} IS NOT NULL"
+    return f"WITH {TRACKS} SELECT track, max_by(k, event_id) AS rev, count(*) AS versions FROM frames GROUP BY track"

@@ -18,9 +18,35 @@ class Dialect:
     def sub(self, s: str, p: str, r: str) -> str:
         return f"regexp_replace({s}, '{p}', '{r}')" if self.spark else f"regexp_replace({s}, '{p}', '{r}', 'g')"
 
-    def found(self, s: str, p: str) -> str:
+    def found(self, s: str, p: str, group: int = 0) -> str:
         """The list of a pattern's matches."""
-        return f"regexp_extract_all({s}, '{p}', 0)"
+        return f"regexp_extract_all({s}, '{p}', {group})"
+
+    def pat(self, p: str) -> str:
+        """A pattern with § for each backslash, as the engine's literals write it."""
+        return p.replace("§", chr(92) * (2 if self.spark else 1))
+
+    def trim(self, s: str) -> str:
+        """Without white space around."""
+        return self.sub(s, self.pat("^§s+|§s+$"), "")
+
+    def collapsed(self, s: str) -> str:
+        return f"trim({self.sub(s, self.pat('§s+'), ' ')})"
+
+    def words(self, a: str, but: list[str]) -> str:
+        """Distinct items of a list, sorted, without some."""
+        kept = self.only(a, "x NOT IN (" + ", ".join(f"'{w}'" for w in but) + ")") if but else a
+        return f"array_sort(array_distinct({kept}))" if self.spark else f"list_sort(list_distinct({kept}))"
+
+    def any(self, a: str, f: str) -> str:
+        return f"exists({a}, x -> {f})" if self.spark else f"(len(list_filter({a}, lambda x: {f})) > 0)"
+
+    def json(self, s: str) -> str:
+        """A text is JSON, with nothing behind it."""
+        return f"(coalesce(json_array_length('[' || {s} || ']'), 0) = 1 AND try_parse_json('{{\"v\": ' || {s} || '}}') IS NOT NULL)" if self.spark else f"json_valid({s})"
+
+    def split(self, s: str, p: str) -> str:
+        return f"split({s}, '{p}', -1)" if self.spark else f"regexp_split_to_array({s}, '{p}')"
 
     def size(self, a: str) -> str:
         return f"size({a})" if self.spark else f"CAST(len({a}) AS INTEGER)"
@@ -39,7 +65,7 @@ class Dialect:
 
     def glue(self, v: str, sep: str, by: str) -> str:
         """Ordered string aggregation."""
-        return f"listagg({v}, {sep}) WITHIN GROUP (ORDER BY {by})" if self.spark else f"coalesce(string_agg({v}, {sep} ORDER BY {by}), '')"
+        return f"coalesce(listagg({v}, {sep}) WITHIN GROUP (ORDER BY {by}), {chr(39) * 2})" if self.spark else f"coalesce(string_agg({v}, {sep} ORDER BY {by}), '')"
 
     def even(self, x: str, n: int) -> str:
         return f"bround({x}, {n})" if self.spark else f"round_even({x}, {n})"

@@ -56,4 +56,4 @@ def test_accounts_not_shared(spark, sf):
         if r.l_partkey % 11:
             shared[r.l_orderkey].add(f"u{r.l_partkey % 40}")
     want = {(i, w) for i in ids for w in set(owner.values()) - shared[i]}
-    assert {tuple(r) for r in queries.QUERIES["j28_j29_missing"](spark, sf).collect()} == want
+    assert {tuple(r) for r in queries.QUERIES["j29_not_shared"](spark, sf).collect()} == want
