@@ -235,13 +235,14 @@ def quartered(hot: DataFrame) -> DataFrame:
     return hot.select(quarter.alias("key"), "fp")
 
 
-def celled(rows: DataFrame, item: str, block: int) -> DataFrame:
+def celled(rows: DataFrame, item: str, block: int, weight: str | None = None, most: int = 1 << 20) -> DataFrame:
     """rows (key, item, ...) -> the rows of each key once for each pair of blocks that its block is in, so that any two meet in some key.
 
-    Keys with at most `block` rows stay whole; the others get blocks of about half of it.
+    Keys with at most `block` rows (and `most` of the weight) stay whole; the others get blocks of about half of it.
     """
-    counts = rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > block)
-    n = F.coalesce(F.ceil(2 * F.col("many") / block), F.lit(1)).cast("long")
+    heavy = F.sum(weight) if weight else F.lit(0)
+    counts = rows.groupBy("key").agg(F.count("*").alias("many"), heavy.alias("heavy")).where((F.col("many") > block) | (F.col("heavy") > most))
+    n = F.coalesce(F.ceil(F.greatest(2 * F.col("many") / block, 2 * F.col("heavy") / most)), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64(F.lit("block"), item), F.col("blocks"))
     df = rows.join(counts, "key", "left").withColumn("blocks", n).withColumn("own", own)
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -291,7 +292,7 @@ SIMILAR, BANDS, BAND_ROWS = 0.8, 20, 5
 #: similarity of 0.8 that is 6 standard errors below the mean.
 SKETCH_LEAST = 56
 #: Rounds in which the nodes of a band that are still apart are compared with one of them, another one each round, before all pairs are.
-STARS = 4
+STARS = 1
 _ODD = np.random.default_rng(20260101).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -371,48 +372,68 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """rows (key, id, n, sketch, label) -> pairs (a, b) of equal key and different label whose sizes and sketches allow the similarity."""
+    """rows (key, at, id, n, label, sketch, bands, grams) -> similar pairs (a, b) of equal key and different label, in each task as many as
+    join the labels that they join. A pair is looked at in the first band that it shares, if its sizes and sketches allow the similarity."""
+    names = ["key", "at", "id", "n", "label", "sketch", "bands", "grams"]
 
-    def pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def candidates(key: np.ndarray, at: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         left = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(key)) - 1
-        at, shift = np.flatnonzero(left > 0), 1
-        while len(at):
-            other = at + shift
-            some = (label[at] != label[other]) & (np.minimum(n[at], n[other]) >= SIMILAR * np.maximum(n[at], n[other]))
-            x, y = at[some], other[some]
+        own, shift = np.flatnonzero(left > 0), 1
+        while len(own):
+            other = own + shift
+            some = (label[own] != label[other]) & (np.minimum(n[own], n[other]) >= SIMILAR * np.maximum(n[own], n[other]))
+            x, y = own[some], other[some]
             near = (sketch[x] == sketch[y]).sum(axis=1) >= SKETCH_LEAST
-            yield x[near], y[near]
+            x, y = x[near], y[near]
+            first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == at[x]
+            yield x[first], y[first]
             shift += 1
-            at = at[left[at] >= shift]
+            own = own[left[own] >= shift]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, weight = 0, 0
 
-        def out(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(part).combine_chunks()
-            ids = t.column(1).combine_chunks()
-            label = np.unique(np.array(t.column(4).to_pylist(), object), return_inverse=True)[1] if len(t) else np.zeros(0, int)
-            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(len(t), -1)
-            for x, y in pairs(t.column(0).to_numpy(), t.column(2).to_numpy(), label, sketch):
-                if len(x):
-                    yield pa.record_batch([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
+            key, at, n = (t.column(i).to_numpy() for i in (0, 1, 3))
+            label = np.unique(np.array([*t.column(4).to_pylist(), b""], object), return_inverse=True)[1][:-1]
+            sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(t), -1)
+            bands = t.column(6).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            ids, grams = t.column(2).to_pylist(), t.column(7).to_pylist()
+            up = list(range(int(label.max(initial=-1)) + 1))
+
+            def root(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            pairs = []
+            for xs, ys in candidates(key, at, n, label, sketch, bands):
+                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                    p, q = root(label[x]), root(label[y])
+                    if p != q and alike(np.frombuffer(grams[x], np.uint64), np.frombuffer(grams[y], np.uint64)):
+                        up[q] = p
+                        pairs.append((ids[x], ids[y]))
+            return pa.record_batch([pa.array(c, pa.binary()) for c in (zip(*pairs, strict=True) if pairs else [[], []])], ["a", "b"])
 
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= 8 * BLOCK and len(batch):
-                key = batch.column(0).to_numpy()
-                end = int(np.searchsorted(key, key[-1]))  # the last key may go on; cells keep it small
-                if end:
-                    yield from out([*held[:-1], batch.slice(0, end)])
-                    held, rows = [batch.slice(end)], len(batch) - end
+        for big in batches:
+            for batch in (big.slice(i, 256) for i in range(0, len(big), 256)):
+                held.append(batch)
+                rows += len(batch)
+                weight += int(batch.column(3).to_numpy().sum())
+                if rows >= 4 * BLOCK or weight >= 4 << 20:
+                    key = batch.column(0).to_numpy()
+                    end = int(np.searchsorted(key, key[-1]))  # the last key may go on; cells keep it small
+                    if end:
+                        yield out([*held[:-1], batch.slice(0, end)])
+                        held, rows, weight = [batch.slice(end)], len(batch) - end, int(batch.column(3).to_numpy()[end:].sum())
         if held:
-            yield from out(held)
+            yield out(held)
 
-    found = rows.repartition("key").sortWithinPartitions("key").select("key", "id", "n", "sketch", "label").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.repartition("key").sortWithinPartitions("key").select(*names).mapInArrow(run, "a binary, b binary")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -421,8 +442,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
     A node is a set of shingles. Candidates are pairs with fingerprints in one component of at most 3 bits (the operator's
     links) and pairs that share a MinHash band. First every node is compared with the least node of each of its
-    groups, then with others that a hash chooses, which joins groups of copies without looking at all their pairs; then, in
-    bands whose nodes are still in different components, all pairs across these are. What comes out is the components of all similar candidates, however
+    groups, then with another that a hash chooses, which joins groups of copies without looking at all their pairs; then, in
+    bands whose nodes are still in different components, all pairs across these are, where the sets lie. What comes out is the components of all similar candidates, however
     the rows are dealt out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("other"), "text").alias("t2"), F.col("text").cast("string"))
@@ -464,9 +485,9 @@ def similar(docs: DataFrame) -> DataFrame:
         member = band.select("at", "id", "n").join(at, "id")
         apart = member.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("at")
         open_ = written(member.join(apart, "at"), "open")
-    last = open_.join(nodes.select("id", "sketch"), "id").select(F.col("at").alias("key"), "id", "n", "sketch", "label")
-    rest = written(across(celled(written(last, "last"), "id", BLOCK)).join(stars, ["a", "b"], "left_anti"), "rest")
-    found = written(checked(rest, sets), "near")
+    last = celled(open_.select(F.col("at").alias("key"), "at", "id", "n", "label"), "id", BLOCK, "n")
+    last = last.join(nodes.select("id", "sketch", "bands"), "id").join(sets, "id")
+    found = written(across(last), "near")
     if not found.isEmpty():
         at = labelled(nodes.select("id"), "id", near.unionByName(found), "label")
     return prints.select("doc_id", "t1", "t2", "id").join(at.select("id", F.col("label").alias("component")), "id").select("doc_id", "t1", "t2", "id", "component")
