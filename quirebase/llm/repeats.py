@@ -15,8 +15,8 @@ only the suffixes that begin at anchors (one unit in (L - K + 2) / 2) have to be
 Gram hashes only choose what is compared; in groups that fit in memory the text itself decides whether windows are equal
 (whole copies of a text are known by 128 bits of hash). A gram that a task meets often is salted by the text's hash before
 anything is shuffled. The prefix that deals a suffix out is as long as the counts ask for: the gram; for a gram with more
-than HOT distinct anchors all the units that the windows of one half of the distances to the anchor have in common; and
-where more than HOT share those too, as in a passage that very many documents have, the whole window: a deep node whose
+than HOT distinct anchors (in suffix trees) all the units that the windows of one half of the distances to the anchor have in
+common; and where more than HOT share those too, as in a passage that very many documents have, the whole window: a deep node whose
 leaves are only counted, map-side first, by 128 bits of hash.
 The filter of step 3 that keeps other documents' texts out of the shuffle has at most BLOOM bits at any size of corpus;
 its false positives only cost time.
@@ -247,10 +247,11 @@ def in_runs(did: np.ndarray, t1: np.ndarray, start: np.ndarray) -> pa.RecordBatc
 SPANS = "did long, t1 long, start long, windows long"
 
 
-def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataFrame:
+def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool, halves: bool) -> DataFrame:
     """documents -> (doc_id, n, n_removed, n_spans, kept_sha256): units without those that repeated windows cover.
 
     first_stays: the first occurrence (least doc_id, then earliest start) is no repetition; else every occurrence is.
+    halves: between the gram and the whole window, prefixes are tried that half of an anchor's windows share.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -277,10 +278,14 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
     found = rows.select("did", "t1", "text").mapInArrow(find, "h long, salt long, did long, t1 long, loc long")
     one = Window.partitionBy("h", "salt").orderBy("t1", "loc", "did")
     found = found.withColumn("copy", F.lag("t1").over(one).eqNullSafe(F.col("t1")) & F.lag("loc").over(one).eqNullSafe(F.col("loc"))).where(~F.col("copy"))
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("(n > 1 or salt > 0) and loc >= 0")
-    found = written(found.select("h", "did", "t1", "loc"), "anchors")
+    group = Window.partitionBy("h", "salt")
+    found = found.withColumns({"n": F.count("*").over(group), "often": F.min("loc").over(group) < 0}).where("(n > 1 or salt > 0) and loc >= 0")
+    anchored = written(found.select("h", "did", "t1", "loc", (F.col("often") | (F.col("salt") > 0)).alias("often")), "anchors")
+    # An anchor of a salted gram may have come unsalted too, from another task.
+    once = anchored.where("often").groupBy("h", "t1", "loc").agg(F.min("did").alias("did")).select("h", "did", "t1", "loc")
+    found = anchored.where("not often").select("h", "did", "t1", "loc").unionByName(once)
     hot = found.groupBy("h").agg(F.count("*").alias("all")).where(f"all > {HOT}")
-    anchored, hot = found, written(hot, "hot")
+    hot = written(hot, "hot")
     found = found.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     marks = written(found.groupBy("did", "t1").agg(F.collect_list(F.struct("h", "loc", "hot")).alias("at")), "marks")
     removed(anchored, hot)
@@ -405,10 +410,13 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool) -> DataF
 
     spans = judged(cut(False, leaf, schema))
     if not hot_marks.isEmpty():
-        leaves = written(halved(cut(True, leaf, schema), (1 << (unit.window - unit.gram).bit_length()) // 2), "leaves")
-        large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
-        spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
-        windows = leaves.join(large, "h", "left_semi").mapInArrow(one_window_each, "w1 long, w2 long, did long, t1 long, start long")
+        leaves = cut(True, leaf, schema)
+        if halves:
+            leaves = written(halved(leaves, (1 << (unit.window - unit.gram).bit_length()) // 2), "leaves")
+            large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
+            spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
+            leaves = leaves.join(large, "h", "left_semi")
+        windows = leaves.mapInArrow(one_window_each, "w1 long, w2 long, did long, t1 long, start long")
         least = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
         again = windows.join(least, ["w1", "w2"])
         if first_stays:

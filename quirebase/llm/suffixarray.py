@@ -125,5 +125,5 @@ def classes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.nd
 
 def without_later_repeats(docs: DataFrame, window: int = 100, gram: int = 24) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): bytes of windows that also start earlier are removed."""
-    out = repeats.repeated(docs, repeats.Bytes(window, gram), classes, first_stays=True)
+    out = repeats.repeated(docs, repeats.Bytes(window, gram), classes, first_stays=True, halves=False)
     return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

@@ -62,5 +62,5 @@ def nodes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np.ndar
 
 def without_repeats(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): words of windows that occur elsewhere, in any document, go in all of them."""
-    out = repeats.repeated(docs, repeats.Words(window, gram), nodes, first_stays=False)
+    out = repeats.repeated(docs, repeats.Words(window, gram), nodes, first_stays=False, halves=True)
     return out.select("doc_id", out.n.alias("n_words"), "n_removed", "kept_sha256")
