@@ -396,27 +396,31 @@ def repeated(docs: DataFrame, unit, order: Callable, first_stays: bool, halves:
 
         return leaves.mapInArrow(run, schema)
 
+    def windows_of(h, did, t1, loc, cuts) -> pa.RecordBatch:
+        out = []
+        pos, lo, hi = (x.tolist() for x in unpacked(loc))
+        for j, (d, t, c) in enumerate(zip(did.tolist(), t1.tolist(), cuts, strict=True)):
+            doc = unit.cut_loaded(c)
+            for i in range(hi[j] - lo[j] + 1):
+                digest = hashlib.blake2b(unit.cut(doc, i, i + unit.window), digest_size=16).digest()
+                out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), d, t, pos[j] - hi[j] + i))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["w1", "w2", "did", "t1", "start"])
+
     def one_window_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(i, 4096) for i in range(0, len(big), 4096)):
-                out = []
-                pos, lo, hi = (x.tolist() for x in unpacked(batch.column(3).to_numpy()))
-                for j, (did, t1, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True)):
-                    doc = unit.cut_loaded(c)
-                    for i in range(hi[j] - lo[j] + 1):
-                        digest = hashlib.blake2b(unit.cut(doc, i, i + unit.window), digest_size=16).digest()
-                        out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), did, t1, pos[j] - hi[j] + i))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["w1", "w2", "did", "t1", "start"])
+                yield windows_of(*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist())
 
     spans = judged(cut(False, leaf, schema))
     if not hot_marks.isEmpty():
-        leaves = cut(True, leaf, schema)
+        window_schema = "w1 long, w2 long, did long, t1 long, start long"
         if halves:
-            leaves = written(halved(leaves, (1 << (unit.window - unit.gram).bit_length()) // 2), "leaves")
+            leaves = written(halved(cut(True, leaf, schema), (1 << (unit.window - unit.gram).bit_length()) // 2), "leaves")
             large = written(leaves.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h"), "large")
             spans = spans.unionByName(judged(leaves.join(large, "h", "left_anti")))
-            leaves = leaves.join(large, "h", "left_semi")
-        windows = leaves.mapInArrow(one_window_each, "w1 long, w2 long, did long, t1 long, start long")
+            windows = leaves.join(large, "h", "left_semi").mapInArrow(one_window_each, window_schema)
+        else:
+            windows = cut(True, windows_of, window_schema)
         least = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("did", "t1", "start")).alias("first")).where("n > 1")
         again = windows.join(least, ["w1", "w2"])
         if first_stays:
