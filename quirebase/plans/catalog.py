@@ -85,12 +85,6 @@ def a16_covered_ratio(d: Dialect) -> str:
     return f"WITH {BOXES} SELECT a.page, a.det, round(least(1e0, coalesce(sum({INTER}), 0e0) / max({AREA.format('a')})), 9) AS covered FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND b.cls = 2 AND a.det <> b.det GROUP BY a.page, a.det"
 
 
-@plan
-def a41_fast_nms(d: Dialect) -> str:
-    """Set-based: a box goes if any box of higher score overlaps it enough."""
-    return f"WITH {BOXES}, hit AS (SELECT DISTINCT a.page, a.det FROM boxes a JOIN boxes b ON a.page = b.page AND a.cls = b.cls AND (b.conf > a.conf OR (b.conf = a.conf AND b.det < a.det)) WHERE {INTER} >= 0.2e0 * ({AREA.format('a')} + {AREA.format('b')} - {INTER})) SELECT a.page, a.det, a.cls FROM boxes a LEFT JOIN hit h ON a.page = h.page AND a.det = h.det WHERE h.det IS NULL"
-
-
 @plan
 def j05_nearest_block(d: Dialect) -> str:
     """First block that contains a point (margin 3), else the nearest within 28."""

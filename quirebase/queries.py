@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import formulas, greedy, markup, rows
-from .plans import detection, events, glyphs, parsing, rules  # noqa: F401  their plans register themselves
+from .plans import detection, events, glyphs, lines, parsing, rules  # noqa: F401  their plans register themselves
 from .plans.catalog import PLANS
 from .plans.dialect import DUCK, SPARK
 from .plans.views import BOXES, FORMULAS
