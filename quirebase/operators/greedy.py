@@ -23,24 +23,28 @@ def by_group(df: DataFrame, key: str, run: Callable[[object, list], Iterator[tup
     return df.repartition(key).sortWithinPartitions(key).mapInPandas(stream, schema)
 
 
-def merged(boxes: DataFrame, gap: float) -> DataFrame:
-    """Boxes that touch (padded by gap) are merged until none do: rows (page, x1, y1, x2, y2)."""
+Box = list[float]
+
+
+def within(gap: float) -> Callable[[Box, Box], bool]:
+    """Boxes (x1, y1, x2, y2) less than half the gap apart."""
+    pad = gap / 2
+    return lambda r, o: r[0] < o[2] + pad and o[0] < r[2] + pad and r[1] < o[3] + pad and o[1] < r[3] + pad
+
+
+def merged(boxes: DataFrame, gap: float = 1.0, near: Callable[[Box, Box], bool] | None = None) -> DataFrame:
+    """Boxes near one another, less than half the gap apart if not stated otherwise, become their hull until none are: rows (page, x1, y1, x2, y2)."""
+    near = near or within(gap)
 
     def run(page, rows: list) -> Iterator[tuple]:
-        rects = [[r.x1, r.y1, r.x2, r.y2] for r in rows]
-        changed = True
-        while changed:
-            changed, out = False, []
-            for r in rects:
-                for o in out:
-                    if r[0] <= o[2] + gap and o[0] <= r[2] + gap and r[1] <= o[3] + gap and o[1] <= r[3] + gap:
-                        o[:] = [min(o[0], r[0]), min(o[1], r[1]), max(o[2], r[2]), max(o[3], r[3])]
-                        changed = True
-                        break
-                else:
-                    out.append(list(r))
-            rects = out
-        return ((page, *r) for r in sorted(rects))
+        hulls: list[Box] = []
+        for r in rows:
+            box = [r.x1, r.y1, r.x2, r.y2]
+            while close := [h for h in hulls if near(box, h)]:  # a hull that grew may reach others
+                hulls = [h for h in hulls if h not in close]
+                box = [f(sides) for f, sides in zip((min, min, max, max), zip(box, *close, strict=True), strict=True)]
+            hulls.append(box)
+        return ((page, *r) for r in sorted(hulls))
 
     return by_group(boxes.select("page", "x1", "y1", "x2", "y2"), "page", run, "page long, x1 double, y1 double, x2 double, y2 double")
 

@@ -236,28 +236,6 @@ def f54_joinable(d: Dialect) -> str:
     return f"WITH {PAIRS} SELECT page, det, other, u1 <= x2 + 4 AND x1 <= u2 + 4 AND least(y2, v2) - greatest(y1, v1) > -2 AS joinable FROM pairs"
 
 
-COVER = "greatest(least(l.x2, c.x2) - greatest(l.x1, c.x1), 0e0) * greatest(least(l.y2, c.y2) - greatest(l.y1, c.y1), 0e0) / ((l.x2 - l.x1) * (l.y2 - l.y1))"
-
-
-def covered(name: str, cls: int) -> str:
-    """CTE name: share of each line (box of class below 4) under the merged boxes of a class, here their hull."""
-    return f"""{name}_hull AS (SELECT page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes WHERE cls = {cls} GROUP BY page),
-{name} AS (SELECT l.page, l.det, l.cls, l.x1, l.y1, l.x2, l.y2, {COVER} AS share, (l.x1 + l.x2) / 2 BETWEEN c.x1 AND c.x2 AND (l.y1 + l.y2) / 2 BETWEEN c.y1 AND c.y2 AS centred FROM boxes l JOIN {name}_hull c ON l.page = c.page WHERE l.cls < 4)"""
-
-
-@plan
-def f34_invisible_layer(d: Dialect) -> str:
-    """Pages whose lines are half hidden on average."""
-    return f"WITH {BOXES}, {covered('hidden', 4)} SELECT page, avg(share) >= 0.5e0 AS invisible FROM hidden GROUP BY page"
-
-
-@plan
-def j22_ghost_text(d: Dialect) -> str:
-    """Lines in images that the image repeats, or the page hides: 60 % under images, centre in one, 60 % under baked or hidden rectangles."""
-    lost = "EXISTS (SELECT 1 FROM hidden h WHERE h.page = i.page AND h.det = i.det AND h.cls = i.cls AND h.x1 = i.x1 AND h.y1 = i.y1 AND h.share >= 0.6e0)"
-    return f"WITH {BOXES}, {covered('images', 5)}, {covered('hidden', 4)} SELECT page, det, cls, share >= 0.6e0 AND centred AND (page % 2 = 0 OR {lost}) AS ghost FROM images i"
-
-
 @plan
 def j33_row_span(d: Dialect) -> str:
     """Interval of an anchor's row (boxes of class 0): neighbours that overlap by 40 % in height, cut at gaps over 12; the island that overlaps most, the first of equals."""

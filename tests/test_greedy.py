@@ -65,7 +65,7 @@ def test_merge_reaches_a_fixpoint(spark, sf):
     for rects in pages.values():
         for i, a in enumerate(rects):
             for b in rects[:i]:
-                assert not (a.x1 <= b.x2 + 1 and b.x1 <= a.x2 + 1 and a.y1 <= b.y2 + 1 and b.y1 <= a.y2 + 1)
+                assert not (a.x1 < b.x2 + 0.5 and b.x1 < a.x2 + 0.5 and a.y1 < b.y2 + 0.5 and b.y1 < a.y2 + 0.5)
 
 
 def test_records(spark):
