@@ -177,3 +177,21 @@ PARSED = "parsed AS (SELECT o_orderkey AS doc, CASE o_orderkey % 4 WHEN 0 THEN '
 def z03_reference_strategy(d: Dialect, view: str = PARSED) -> str:
     """The way in which a document's references are read: that of its parser, or of the text layer for none and all others."""
     return f"WITH {view} SELECT doc, CASE parser WHEN 'surya' THEN 'surya' WHEN 'unlimited_ocr' THEN 'unlimited_ocr' ELSE 'text_layer' END AS strategy FROM parsed"
+
+
+#: Lines about formulas, one a page: rows already taken as the formula's, rows barred from it, characters in mathematical fonts.
+ROWS = f"{BOXES}, rows_ AS (SELECT page AS formula, det, x1 * 2 AS x1, y1 / 4 AS y1, x1 * 2 + w / 4 AS x2, y1 / 4 + 10 AS y2, det <= 1 AS seed, cls = 5 AS barred, CASE WHEN cls <> 2 THEN CAST(8 + cls AS INTEGER) END AS math, 14 AS chars, 0e0 AS low, 28e0 AS high FROM boxes)"
+#: Passes, share of the lesser height that is the same row, farthest neighbour, share of mathematical characters, slack of the formula's extent.
+PASSES, SAME_ROW, BESIDE, MATHS, EXTENT = 4, "0.4e0", 12, "0.5e0", 2
+
+
+@plan
+def j35_extended_rows(d: Dialect, view: str = ROWS) -> str:
+    """Rows of a formula: those taken first, then four times the ones level with them, mostly mathematical, and next to what is taken by then."""
+    own = "OVER (PARTITION BY formula)"
+    fit = f"NOT barred AND math IS NOT NULL AND math >= {MATHS} * greatest(1, chars) AND (y1 + y2) / 2 BETWEEN low - {EXTENT} AND high + {EXTENT} AND least(y2, bottom) - greatest(y1, top) >= {SAME_ROW} * least(y2 - y1, bottom - top)"
+    steps = f"t0 AS (SELECT *, 0 AS pass, {fit} AS fit FROM (SELECT *, min(CASE WHEN seed THEN y1 END) {own} AS top, max(CASE WHEN seed THEN y2 END) {own} AS bottom FROM rows_) s0), p0 AS (SELECT *, CASE WHEN seed THEN 0 END AS taken FROM t0)"
+    for i in range(1, PASSES + 1):
+        hull = f"SELECT *, min(CASE WHEN taken IS NOT NULL THEN x1 END) {own} AS left{i}, max(CASE WHEN taken IS NOT NULL THEN x2 END) {own} AS right{i} FROM p{i - 1}"
+        steps += f", p{i} AS (SELECT formula, det, x1, x2, fit, CASE WHEN taken IS NOT NULL THEN taken WHEN fit AND greatest(x1 - right{i}, left{i} - x2) <= {BESIDE} THEN {i} END AS taken FROM ({hull}) h{i})"
+    return f"WITH {view}, {steps} SELECT formula, det, x1, x2, taken FROM p{PASSES} WHERE taken IS NOT NULL"

@@ -75,6 +75,16 @@ def test_predictors(results):
     assert results("a48_workers", calls, cast, moment) == [(1, 0, 1, 3, 4.0), (1, 1, 1, 5, 5.0)]
 
 
+def test_extended_rows(results):
+    row = lambda formula, det, x1, x2, y1=0.0, seed=0, barred=0, math=9, chars=10, high=20.0: (formula, det, float(x1), y1, float(x2), y1 + 10, seed, barred, math, chars, 0.0, high)
+    chain = [row(1, i, 20 * i, 20 * i + 8) for i in range(1, 7)]  # each 12 from the one before: one a pass, the fifth and sixth too late
+    rows = [row(1, 0, 0, 8, seed=1), *chain, row(1, 9, -21, -13), row(2, 0, 0, 8, seed=1), row(2, 1, 9, 20, barred=1), row(2, 2, 9, 20, y1=6.5), row(2, 3, 9, 20, y1=6.0), row(2, 4, -9, -1, math=4), row(2, 5, -9, -1, math=5), row(2, 6, 9, 20, math=None), row(2, 7, 9, 20, y1=5.0, high=7.0), row(3, 1, 0, 8)]
+    raw = view("raw", "formula, det, x1, y1, x2, y2, seed_, barred_, math_, chars, low, high", *rows)
+    cast = "rows_ AS (SELECT formula, det, x1, y1, x2, y2, seed_ = 1 AS seed, barred_ = 1 AS barred, CAST(math_ AS INTEGER) AS math, chars, low, high FROM raw)"
+    got = [(r[0], r[1], r[4]) for r in results("j35_extended_rows", raw, cast)]
+    assert sorted(got) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4), (2, 0, 0), (2, 3, 1), (2, 5, 1)]
+
+
 def test_reference_strategy(results):
     assert results("z03_reference_strategy", view("parsed", "doc, parser", (1, "surya"), (2, "unlimited_ocr"), (3, None), (4, "other"))) == [(1, "surya"), (2, "unlimited_ocr"), (3, "text_layer"), (4, "text_layer")]
 

@@ -1,5 +1,7 @@
 import json
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirebase.functions.columns import Strategies, enriched, without_private
@@ -49,3 +51,26 @@ def test_strategies_and_enrichment(spark):
     s.add("local", lambda d: d.where("page = 1"))
     s.add("both", lambda d: d, without_private)
     assert s.run(None, pages).count() == s.run("odd", pages).count() == 1 and s.run(" Both ", pages).columns == ["page"]
+
+
+def jpeg(width, height, orientation=None):
+    exif = b"Exif\0\0MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 256, 3, 1, 9, 0) + struct.pack(">HHIHH", 274, 3, 1, orientation, 0) if orientation else b""
+    app1 = b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif if exif else b""
+    return b"\xff\xd8" + app1 + b"\xff\xc4\x00\x04ab\xff" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, height, width) + b"\0" * 4
+
+
+def test_labelled_images(spark, tmp_path):
+    images, labels = tmp_path / "images" / "val", tmp_path / "labels" / "val"
+    images.mkdir(parents=True)
+    labels.mkdir(parents=True)
+    made = {"a.png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 640, 480), "b.jpg": jpeg(30, 20), "c.jpeg": jpeg(30, 20, 6), "d.jpg": jpeg(30, 20, 3), "e.gif": b"GIF89a" + struct.pack("<HH", 7, 9), "f.bmp": b"BM" + b"\0" * 16 + struct.pack("<ii", 5, -6), "g.jpg": b"\xff\xd8\xff", "h.dat": b"?"}
+    for name, content in made.items():
+        (images / name).write_bytes(content)
+    (labels / "a.txt").write_text("0 0.5 0.25\n\n  3\t1 2 \n")
+    (labels / "b.txt").write_text("\n")
+    got = {r.path.rsplit("/")[-1]: (r.width, r.height, r.label) for r in files.labelled(spark, str(tmp_path), "val").collect()}
+    assert got["a.png"] == (640, 480, [[0.0, 0.5, 0.25], [3.0, 1.0, 2.0]]) and got["b.jpg"] == (30, 20, [])
+    assert {n: got[n][:2] for n in made if n > "c"} == {"c.jpeg": (20, 30), "d.jpg": (30, 20), "e.gif": (7, 9), "f.bmp": (5, 6), "g.jpg": (None, None), "h.dat": (None, None)}
+    assert all(got[n][2] is None for n in made if n > "c")
+    with pytest.raises(ValueError):
+        files.labelled(spark, str(tmp_path), "test")
