@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cover, formulas, gaps, greedy, markup, rows
+from .operators import cover, formulas, gaps, greedy, markup, queue, rows
 from .plans import detection, events, glyphs, parsing, rules  # noqa: F401  their plans register themselves
 from .plans import lines as _lines  # noqa: F401
 from .plans.catalog import PLANS
@@ -101,6 +101,12 @@ def j21_x61_column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.spaced(pieces(spark, sf_dir))
 
 
+def m02_bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as puts into 20 pools of 4 places, purchases as takes of up to 3."""
+    log = table(spark, sf_dir, "events").selectExpr("user_id % 20 AS pool", "event_id AS at", "event_id AS seq", "CASE WHEN event_type = 'purchase' THEN 3 END AS take")
+    return queue.admitted(log, 4, 10_000)
+
+
 def w27_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.settled(boxes(spark, sf_dir))
 
@@ -145,6 +151,6 @@ def x48_split_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.split_texts(recognised(spark, sf_dir))
 
 
-ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, f34_invisible_layer, j09_uri_claims, j15_j16_row_groups, j17_flows, j19_absorbed_gaps, j21_x61_column_gaps, j22_ghost_text, s31_vector_figures, w27_settled, x01_x02_sentences, x12_markup_text, x16_marked_formulas, x19_text_lines, x33_folded_boxes, x47_aligned_formulas, x48_split_formulas, m14_m15_m18_m19_m20_u08_j25_tracks)
+ORDERED = (a15_merged_rects, a17_clustered_rects, a18_corridors, f34_invisible_layer, j09_uri_claims, j15_j16_row_groups, j17_flows, j19_absorbed_gaps, j21_x61_column_gaps, j22_ghost_text, m02_bounded_queue, s31_vector_figures, w27_settled, x01_x02_sentences, x12_markup_text, x16_marked_formulas, x19_text_lines, x33_folded_boxes, x47_aligned_formulas, x48_split_formulas, m14_m15_m18_m19_m20_u08_j25_tracks)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(planned, name) for name in PLANS} | {f.__name__: f for f in ORDERED}
 ORACLES: dict[str, str] = {name: p(DUCK) for name, p in PLANS.items()}
