@@ -79,8 +79,8 @@ def f55_rebuilt_blocks(d: Dialect, view: str = PIECES) -> str:
 
 @plan
 def f55_formula_slots(d: Dialect, view: str = PIECES) -> str:
-    """Where a formula's blanks lie in the rebuilt block, nowhere if the line went; whether the line has nothing else."""
-    return f"WITH {view}, {grouped(d)}, {kept_lines(d)} SELECT f.blk, f.line, f.a AS from_, CAST(k.at_ + f.a AS BIGINT) AS a, CAST(k.at_ + f.b AS BIGINT) AS b, f.spaces, k.blk IS NULL AS whole_line FROM formulas_ f LEFT JOIN kept k ON f.blk = k.blk AND f.line = k.line"
+    """Where a formula's blanks lie in the rebuilt block, at -1 if the line went; whether the line has nothing else."""
+    return f"WITH {view}, {grouped(d)}, {kept_lines(d)} SELECT f.blk, f.line, f.a AS from_, CAST(coalesce(k.at_ + f.a, -1) AS BIGINT) AS a, CAST(coalesce(k.at_ + f.b, -1) AS BIGINT) AS b, f.spaces, k.blk IS NULL AS whole_line FROM formulas_ f LEFT JOIN kept k ON f.blk = k.blk AND f.line = k.line"
 
 
 #: Sentences of a document's items in reading order, and one selection a document by its two ends, in either order.

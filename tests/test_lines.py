@@ -37,7 +37,7 @@ def test_formula_pieces(results):
 def test_rebuilt_blocks_and_slots(results):
     segs = [(1, 0, 2, 3, 1), (1, 1, 0, 3, 3), (1, 3, 1, 2, 1), (2, 0, 0, 1, 1)]
     assert results("f55_rebuilt_blocks", *pieces(*segs)) == [(1, 3, 1.0, 0.0, 12.0, 9.0, "ab x c word d coop")]
-    assert results("f55_formula_slots", *pieces(*segs)) == [(1, 0, 2, 2, 3, 1, False), (1, 1, 0, None, None, 3, True), (1, 3, 1, 19, 20, 1, False), (2, 0, 0, None, None, 1, True)]
+    assert results("f55_formula_slots", *pieces(*segs)) == [(1, 0, 2, 2, 3, 1, False), (1, 1, 0, -1, -1, 3, True), (1, 3, 1, 19, 20, 1, False), (2, 0, 0, -1, -1, 1, True)]
 
 
 def test_selected_range(results):
