@@ -112,8 +112,20 @@ def j08_candidates(d: Dialect, view: str = PLACES) -> str:
     return f"WITH {view} SELECT page, det, line, far FROM (SELECT p.page, p.det, l.det AS line, {far} AS far, row_number() OVER (PARTITION BY p.page, p.det ORDER BY {far}, l.det) AS k FROM places p JOIN lines_ l ON p.page = l.page) q WHERE k = 1"
 
 
+#: Characters of a stretch in which places are counted: time grows with the text, not with its square.
+STRETCH = 1024
+
+
 @plan
 def x23_positions(d: Dialect, view: str = "texts AS (SELECT doc_id AS item, text FROM documents)") -> str:
-    """All places of a part in a text, overlapping ones too."""
-    places = d.only("sequence(1, length(text))" if d.spark else "range(1, length(text) + 1)", "substring(text, CAST(x AS INTEGER), 2) = 'an'")
+    """All places of a part in a text, overlapping ones too.
+
+    Spark takes texts by stretches, each with the character behind it, and adds up lengths between parts, which can't overlap themselves.
+    """
+    if d.spark:
+        stretches = f"regexp_extract_all(text, '(?s)(?=(.{{1,{STRETCH + 1}}})).{{1,{STRETCH}}}', 1)"
+        step = "struct(acc.at + length(p) + 2 AS at, coalesce(concat(acc.found, ',', acc.at), '') AS found)"
+        listed = f"aggregate(split(c, 'an', -1), struct(i * {STRETCH} - 1 AS at, CAST(NULL AS STRING) AS found), (acc, p) -> {step}, acc -> acc.found)"
+        return f"WITH {view} SELECT item, substring(array_join(transform({stretches}, (c, i) -> {listed}), ''), 2) AS places FROM texts WHERE text <> ''"
+    places = d.only("range(1, length(text) + 1)", "substring(text, CAST(x AS INTEGER), 2) = 'an'")
     return f"WITH {view} SELECT item, {d.join(d.each(places, 'CAST(x AS VARCHAR(20))'), 'chr(44)')} AS places FROM texts WHERE text <> ''"

@@ -1,5 +1,9 @@
 """Plans bound to written rows with known results, on both engines; and average precision against numpy."""
 
+import random
+import re
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -131,3 +135,19 @@ def test_average_precision(spark, sf):
             want[round(level, 2), cls] = float(np.trapezoid(np.interp(x, rec, np.maximum.accumulate(pre[::-1])[::-1]), x))
     got = {(round(r.level, 2), r.cls): r.ap for r in spark.sql(PLANS["a31_a32_a44_average_precision"](SPARK)).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want) and max(want.values()) > 0
+
+
+def test_places_in_texts(results):
+    """Stretches meet inside parts; characters of two and four bytes count as one."""
+    n = 1024  # a stretch
+    rng = random.Random(23)
+    texts = {1: "x" * (n - 1) + "an" + "x" * (n - 2) + "an", 2: "an" * (2 * n), 3: "".join(rng.choices("aann\n é漢\U0001f600", k=5 * n + 7)), 4: "ban", 5: "na", 6: "a", 7: "\U0001f600" * (n - 1) + "an"}
+    got = dict(results("x23_positions", view("texts", "item, text", *texts.items(), (8, ""), (9, None))))
+    assert got == {k: ",".join(str(m.start() + 1) for m in re.finditer("an", t)) for k, t in texts.items()}
+
+
+def test_places_in_a_long_text(spark):
+    """400,000 characters: a look at each character from the text's beginning takes minutes."""
+    began = time.time()
+    (row,) = spark.sql(PLANS["x23_positions"](SPARK, "texts AS (SELECT 1 AS item, repeat('some an é ', 40000) AS text)")).collect()
+    assert row.places == ",".join(str(10 * i + 6) for i in range(40000)) and time.time() - began < 20
