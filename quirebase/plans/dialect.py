@@ -90,6 +90,10 @@ class Dialect:
         """f of acc and e over a list, acc being its first element at first."""
         return f"aggregate({a}, {a}[0], (acc, e) -> {f})" if self.spark else f"list_reduce({a}, lambda acc, e: {f})"
 
+    def merged(self, *names: str) -> str:
+        """For a SELECT whose joins Spark is to sort and merge: rows made by explode are more than its estimates say, too many to broadcast."""
+        return f"/*+ MERGE({', '.join(names)}) */ " if self.spark else ""
+
     def spread(self, cols: str, a: str, src: str) -> str:
         if self.spark:
             return f"SELECT {cols}, pos, b FROM {src} LATERAL VIEW posexplode({a}) v AS pos, b"

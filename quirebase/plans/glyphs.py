@@ -338,9 +338,9 @@ def j07_goto_citations(d: Dialect) -> str:
     lo, hi = "CAST(regexp_extract(t, '^([0-9]+)', 1) AS INTEGER)", "CAST(coalesce(nullif(regexp_extract(t, '-([0-9]+)$', 1), ''), regexp_extract(t, '^([0-9]+)', 1)) AS INTEGER)"
     return f"""WITH {CITES}, toks AS (SELECT doc, blk, text, {'explode' if d.spark else 'unnest'}({d.found('text', '[0-9]+(-[0-9]+)?')}) AS t FROM body), spans AS (SELECT DISTINCT doc, blk, instr(text, t) AS start, t, {lo} AS a, {hi} AS b FROM toks),
 nums AS (SELECT doc, blk, start, t, {d.ints('a', 'greatest(a, b)')} AS n FROM spans), links AS (SELECT doc, n, entry FROM entries WHERE entry % 3 = 0),
-hit AS (SELECT l.doc, l.n AS target, s.start, row_number() OVER (PARTITION BY l.doc, l.n ORDER BY s.start, s.t) AS place, s.t FROM links l JOIN nums s ON l.doc = s.doc AND l.n = s.n),
+hit AS (SELECT {d.merged('l', 's')}l.doc, l.n AS target, s.start, row_number() OVER (PARTITION BY l.doc, l.n ORDER BY s.start, s.t) AS place, s.t FROM links l JOIN nums s ON l.doc = s.doc AND l.n = s.n),
 used AS (SELECT DISTINCT doc, start, t FROM hit WHERE place = 1)
-SELECT DISTINCT u.doc, CAST(u.start AS INTEGER) AS start, u.t AS token, CAST(e.n AS INTEGER) AS n, e.entry FROM used u JOIN nums x ON u.doc = x.doc AND u.start = x.start AND u.t = x.t JOIN entries e ON e.doc = x.doc AND e.n = x.n"""
+SELECT {d.merged('u', 'x', 'e')}DISTINCT u.doc, CAST(u.start AS INTEGER) AS start, u.t AS token, CAST(e.n AS INTEGER) AS n, e.entry FROM used u JOIN nums x ON u.doc = x.doc AND u.start = x.start AND u.t = x.t JOIN entries e ON e.doc = x.doc AND e.n = x.n"""
 
 
 @plan

@@ -25,3 +25,9 @@ def rows(df):
 def test_plan(spark, sf, oracle, name):
     got, want = queries.QUERIES[name](spark, sf).toPandas(), oracle.sql(queries.ORACLES[name]).df()
     assert len(want) and rows(got) == rows(want)
+
+
+def test_exploded_numbers_are_not_broadcast(spark, sf):
+    """The numbers of citations are many times the rows of the table that the estimate goes by."""
+    plan = queries.QUERIES["j07_goto_citations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
