@@ -32,8 +32,8 @@ def j24_matches(d: Dialect, view: str = SCORED) -> str:
     return f"WITH {view}, {hits(d)} SELECT page, p AS det, count(*) AS levels, max(level) AS highest FROM hits GROUP BY page, p"
 
 
-def matrix() -> str:
-    best = "row_number() OVER (PARTITION BY page, p ORDER BY iou DESC, t)"
+def matrix(d: Dialect) -> str:
+    best = f"row_number() OVER (PARTITION BY page, p ORDER BY iou DESC, t{d.settled('pc, tc')})"  # a page may have a number twice
     own = "row_number() OVER (PARTITION BY page, t ORDER BY iou DESC, p)"
     sure = f"sure AS (SELECT page, det AS p, cls AS pc FROM preds WHERE conf > {CONF})"
     pairs = f"pairs_ AS (SELECT page, p, t, pc, tc FROM (SELECT *, {own} AS k2 FROM (SELECT *, {best} AS k FROM met WHERE iou > {OVERLAP} AND conf > {CONF}) q1 WHERE k = 1) q2 WHERE k2 = 1)"
@@ -44,12 +44,12 @@ def matrix() -> str:
 @plan
 def a30_confusion(d: Dialect, view: str = SCORED) -> str:
     """Counts of (predicted, true) classes, each side with the background for what found no partner."""
-    return f"WITH {view}, {matrix()} SELECT pc, tc, n FROM matrix"
+    return f"WITH {view}, {matrix(d)} SELECT pc, tc, n FROM matrix"
 
 
 @plan
 def a46_true_false(d: Dialect, view: str = SCORED) -> str:
-    return f"WITH {view}, {matrix()} SELECT pc AS cls, CAST(sum(CASE WHEN pc = tc THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN pc <> tc THEN n ELSE 0 END) AS BIGINT) AS fp FROM matrix WHERE pc <> {BACKGROUND} GROUP BY pc"
+    return f"WITH {view}, {matrix(d)} SELECT pc AS cls, CAST(sum(CASE WHEN pc = tc THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN pc <> tc THEN n ELSE 0 END) AS BIGINT) AS fp FROM matrix WHERE pc <> {BACKGROUND} GROUP BY pc"
 
 
 @plan

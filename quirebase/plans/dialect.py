@@ -94,6 +94,10 @@ class Dialect:
         """For a SELECT whose joins Spark is to sort and merge: rows made by explode are more than its estimates say, too many to broadcast."""
         return f"/*+ MERGE({', '.join(names)}) */ " if self.spark else ""
 
+    def settled(self, keys: str) -> str:
+        """Further keys of an ORDER BY that leaves ties open, for Spark alone: any choice is within the oracle's statement, this one is always the same. Column stored is a row's place in its table."""
+        return f", {keys}" if self.spark else ""
+
     def spread(self, cols: str, a: str, src: str) -> str:
         if self.spark:
             return f"SELECT {cols}, pos, b FROM {src} LATERAL VIEW posexplode({a}) v AS pos, b"

@@ -151,3 +151,12 @@ def test_places_in_a_long_text(spark):
     began = time.time()
     (row,) = spark.sql(PLANS["x23_positions"](SPARK, "texts AS (SELECT 1 AS item, repeat('some an é ', 40000) AS text)")).collect()
     assert row.places == ",".join(str(10 * i + 6) for i in range(40000)) and time.time() - began < 20
+
+
+def test_confusion_of_equal_numbers(spark):
+    """Two truths of one number overlap a prediction equally: rows in either order give one matrix."""
+    truths = [(1, 2, 3, 0.0, 0.0, 10.0, 10.0), (1, 2, 4, 0.0, 0.0, 10.0, 10.0)]
+    preds = view("preds", "page, det, cls, conf, x1, y1, x2, y2", (1, 1, 5, 0.9, 0.0, 0.0, 10.0, 8.0))
+    for rows in (truths, truths[::-1]):
+        bound = preds + ", " + view("truths", "page, det, cls, x1, y1, x2, y2", *rows)
+        assert [tuple(r) for r in spark.sql(PLANS["a30_confusion"](SPARK, bound)).collect()] == [(5, 3, 1)]
