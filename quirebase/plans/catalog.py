@@ -143,8 +143,9 @@ def x53_embedding_distance(d: Dialect) -> str:
 
 @plan
 def f39_f40_f48_j14_j41_j45_visible(d: Dialect) -> str:
-    """What user u7 may see: the owner, or the first share entry with the name; odd permissions read."""
-    return f"WITH {RECORDS}, {SHARES}, mine AS (SELECT id, perm, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM shares WHERE who = 'u7'), heads AS (SELECT id, count(*) AS shares FROM shares WHERE who <> '' GROUP BY id) SELECT r.id, CASE WHEN r.owner = 'u7' THEN 'owner' WHEN m.perm = 'edit' THEN 'edit' ELSE 'read' END AS my_perm, coalesce(h.shares, 0) AS shares, r.owner = 'u7' AS is_mine FROM records r LEFT JOIN (SELECT * FROM mine WHERE k = 1) m ON r.id = m.id LEFT JOIN heads h ON r.id = h.id WHERE r.owner = 'u7' OR m.id IS NOT NULL"
+    """What user u7 may see: the owner, or the first share entry with the name; odd permissions read. Of entries at one place the first as stored (the oracle's sort is stable on one thread)."""
+    shares = SHARES.replace(" AS pos,", " AS pos, stored,") if d.spark else SHARES
+    return f"WITH {RECORDS}, {shares}, mine AS (SELECT id, perm, row_number() OVER (PARTITION BY id ORDER BY pos{d.settled('stored')}) AS k FROM shares WHERE who = 'u7'), heads AS (SELECT id, count(*) AS shares FROM shares WHERE who <> '' GROUP BY id) SELECT r.id, CASE WHEN r.owner = 'u7' THEN 'owner' WHEN m.perm = 'edit' THEN 'edit' ELSE 'read' END AS my_perm, coalesce(h.shares, 0) AS shares, r.owner = 'u7' AS is_mine FROM records r LEFT JOIN (SELECT * FROM mine WHERE k = 1) m ON r.id = m.id LEFT JOIN heads h ON r.id = h.id WHERE r.owner = 'u7' OR m.id IS NOT NULL"
 
 
 @plan

@@ -21,7 +21,10 @@ from .streaming import tracker
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     for name in TABLES:
         if name in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            rows = table(spark, sf_dir, name)
+            if "stored" in sql:
+                rows = rows.withColumn("stored", F.struct("_metadata.file_path", "_metadata.row_index"))
+            rows.createOrReplaceTempView(name)
 
 
 def planned(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quirebase.plans.catalog import PLANS
 from quirebase.plans.dialect import DUCK, SPARK
-from quirebase.queries import boxes
+from quirebase.queries import QUERIES, boxes
 
 
 def view(name, columns, *rows):
@@ -160,3 +162,16 @@ def test_confusion_of_equal_numbers(spark):
     for rows in (truths, truths[::-1]):
         bound = preds + ", " + view("truths", "page, det, cls, x1, y1, x2, y2", *rows)
         assert [tuple(r) for r in spark.sql(PLANS["a30_confusion"](SPARK, bound)).collect()] == [(5, 3, 1)]
+
+
+def test_share_entries_at_one_place(spark, tmp_path):
+    """Of two entries of one account at one place the first as stored counts, whichever task has its rows first."""
+    spark.sql("SELECT 1L AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, TIMESTAMP '2026-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for first, perm in ((0, "edit"), (1, "read")):
+        # The larger file is read first.
+        for name, rows in (("a", [(1, 1, 7, first)]), ("b", [(1, 1, 7, 1 - first), *((2, i, 8, 0) for i in range(50_000))])):
+            pq.write_table(pa.Table.from_pylist([dict(zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), r, strict=True)) for r in rows]), tmp_path / "lineitem.parquet" / f"{name}.parquet")
+        (row,) = QUERIES["f39_f40_f48_j14_j41_j45_visible"](spark, str(tmp_path)).collect()
+        assert tuple(row) == (1, perm, 2, False)
