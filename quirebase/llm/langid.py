@@ -20,6 +20,7 @@ repeated rows get equal answers; bytes that no sample has are one symbol of thei
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 TRAIN_DOCS, TRAIN_CHARS = 64, 500
-#: Labelled documents beyond the training ones, and their characters, from which a language's usual rates are measured.
-USUAL_DOCS, USUAL_CHARS = 256, 1000
+#: Levels by length at which a language's usual rates are measured, and parts of 1 to which rates are rounded up, so that any number of them are counted in little memory.
+USUAL_LEVELS, USUAL_PARTS = 10, 1 << 16
 #: Of those rates the quantile, and the allowance on it, up to which a text fits the language; without any such document the bound.
 USUAL, ALLOWANCE, FOREIGN = 0.99, 1.25, 0.5
 PIECE = 4096
@@ -216,19 +217,22 @@ def parser_of(samples: dict[str, list[str]]) -> CrossParser:
     return _FITTED[key]
 
 
-def _ranked(docs: DataFrame, chars: int, least: int, most: int) -> DataFrame:
-    """Rows (lang, text, i) of the labelled documents, i from least to most by hash in each language. Spark keeps the least rows of each language before the shuffle."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Labelled documents that have text, with the hashes that order them."""
     own = F.col("doc_id").cast("string")
-    begin = F.pmod(F.xxhash64(F.lit("begin"), own), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    rows = rows.select("lang", F.substring("text", begin, F.lit(chars)).alias("text"), F.xxhash64(own).alias("at"), F.xxhash64("text").alias("of"))
-    top = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "of"))).where(F.col("i") <= most)
-    return top.where(F.col("i") >= least).select("lang", "text", "i")
+    return docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", own.alias("own"), F.xxhash64(own).alias("at"), F.xxhash64("text").alias("of"))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """Of each language the TRAIN_DOCS rows of least hash, i from 1. Spark keeps the least rows of each language before the shuffle."""
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("at", "of"))).where(F.col("i") <= TRAIN_DOCS)
 
 
 def sample(docs: DataFrame, train: Column | None = None) -> dict[str, list[str]]:
     """The bounded training sample: {language: texts}."""
-    top = _ranked(docs if train is None else docs.where(train), TRAIN_CHARS, 1, TRAIN_DOCS)
+    begin = F.pmod(F.xxhash64(F.lit("begin"), F.col("own")), F.greatest(F.char_length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = _labelled(docs if train is None else docs.where(train))
+    top = _least(rows.select("lang", F.substring("text", begin, F.lit(TRAIN_CHARS)).alias("text"), "at", "of"))
     out: dict[str, list[str]] = {}
     for r in top.orderBy("lang", "i").collect():
         out.setdefault(r.lang, []).append(r.text)
@@ -241,29 +245,34 @@ def level(symbols: int) -> int:
 
 
 def bounds(docs: DataFrame, samples: dict[str, list[str]]) -> dict[str, list[float]]:
-    """{language: by level, the phrases a symbol up to which a text fits it}, from labelled documents that aren't in the sample.
+    """{language: by level, the phrases a symbol up to which a text fits it}, from all labelled documents that come after the sample's.
 
-    Their beginnings of 2**level symbols are parsed under their own language. A level that a language has no documents for
-    takes the largest bound that others have there, else its own of the level below, else FOREIGN.
+    Their beginnings of 2**level symbols are parsed under their own language, at the last level whole texts of at least as many. A level
+    that a language has no documents for takes the largest bound that others have there, else its own of the level below, else FOREIGN.
     """
-    levels = level(USUAL_CHARS) + 1
+    last = USUAL_LEVELS - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
         for batch in batches:
             texts = [letters(t) for t in batch.column(1).to_pylist()]
-            cuts = [(lang, k, t[: 1 << k]) for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True) for k in range(levels) if t.any() and len(t) >= 1 << k]
+            cuts = [(lang, k, t if k == last else t[: 1 << k]) for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True) for k in range(USUAL_LEVELS) if t.any() and len(t) >= 1 << k]
             need = parser.phrases([t for _, _, t in cuts])
-            rate = [float(need[i, parser.langs.index(lang)]) / len(t) for i, (lang, _, t) in enumerate(cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.string()), pa.array([c[1] for c in cuts], pa.int32()), pa.array(rate, pa.float64())], ["lang", "level", "rate"])
+            count = Counter((lang, k, -(-int(need[i, parser.langs.index(lang)]) * USUAL_PARTS // len(t))) for i, (lang, k, t) in enumerate(cuts))
+            rows = [(*key, n) for key, n in count.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "level", "rate", "n"])
 
-    held = _ranked(docs, USUAL_CHARS, TRAIN_DOCS + 1, TRAIN_DOCS + USUAL_DOCS).select("lang", "text")
-    rates = held.mapInArrow(run, "lang string, level int, rate double").groupBy("lang", "level").agg(F.percentile("rate", F.lit(USUAL)).alias("rate"))
-    usual = {(r.lang, r.level): ALLOWANCE * r.rate for r in rates.collect()}
+    small_batches(docs.sparkSession)
+    rows = _labelled(docs)
+    taken = _least(rows.select("lang", "at", "of")).groupBy("lang").agg(F.max(F.struct("at", "of")).alias("taken"))
+    held = rows.join(F.broadcast(taken), "lang").where(F.struct("at", "of") > F.col("taken")).select("lang", "text")
+    counts = held.mapInArrow(run, "lang string, level int, rate long, n long").groupBy("lang", "level", "rate").agg(F.sum("n").alias("n"))
+    rates = counts.groupBy("lang", "level").agg(F.percentile("rate", F.lit(USUAL), F.col("n")).alias("rate"))
+    usual = {(r.lang, r.level): ALLOWANCE * r.rate / USUAL_PARTS for r in rates.collect()}
     out: dict[str, list[float]] = {}
     for lang in samples:
         row = out.setdefault(lang, [])
-        for k in range(levels):
+        for k in range(USUAL_LEVELS):
             others = [v for (_, at), v in usual.items() if at == k]
             row.append(usual.get((lang, k), max(others) if others else row[-1] if row else FOREIGN))
     return out

@@ -68,3 +68,23 @@ def test_transitions_are_whole():
     for i in range(0, len(states), 17):
         found = {c: following[place[i] + c] for c in range(30) if owner[place[i] + c] == place[i]}
         assert found == {c: place[to] for c, to in states[i].items()}
+
+
+def test_bounds_are_of_all_labelled_documents(spark):
+    """Against each labelled document beyond the training ones, parsed by itself: more than fit a sample, whole texts at the last level."""
+    rng = np.random.default_rng(8)
+    words = {k: ["".join(rng.choice(list(abc), rng.integers(2, 6))) for _ in range(60)] for k, abc in (("x", "abcdefgh"), ("y", "ghijklmnop"))}
+    rows = [(i, " ".join(rng.choice(words["xy"[i % 2]], rng.integers(1, 500) if i % 5 else 3)), "xy"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    samples = langid.sample(docs)
+    parser, text = langid.CrossParser(samples), {r[0]: r[1] for r in rows}
+    got = langid.bounds(docs, samples)
+    for lang in "xy":
+        order = [r.doc_id for r in docs.where(f"lang = '{lang}'").selectExpr("doc_id", "xxhash64(string(doc_id)) AS at").orderBy("at").collect()]
+        held = [langid.letters(text[i]) for i in order[langid.TRAIN_DOCS :]]
+        assert len(held) > 380
+        for k in range(10):
+            cuts = [t if k == 9 else t[: 1 << k] for t in held if len(t) >= 1 << k]
+            need = parser.phrases(cuts)[:, parser.langs.index(lang)]
+            want = langid.ALLOWANCE * np.percentile(need / [len(t) for t in cuts], 99)
+            assert -1e-9 <= got[lang][k] - want <= 2 * langid.ALLOWANCE / (1 << 16), (lang, k)
