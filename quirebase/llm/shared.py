@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df dealt out anew, by all its columns, into as few partitions as Spark's adaptive rules find its size to need. For tables of
+    narrow rows from many tasks: on a local store Hadoop starts two processes for every file, to set its mode and its checksum's."""
+    return df.hint("rebalance", *df.columns)
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing will read again."""
     for df in tables:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, shelved, small_batches, unshelved, written
+from .shared import components, gathered, shelved, small_batches, unshelved, written
 
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -226,7 +226,8 @@ def links(keys: DataFrame, within: int, limit: int | None = BLOCK) -> DataFrame:
                     held_key, held_fp = held_key[:0], held_fp[:0]
         yield from settled(held_key, held_fp)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean")
+    # in one order, so that a task which runs again gives the same rows
+    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, hot boolean")
 
 
 def quartered(hot: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def linked(nodes: DataFrame, within: int) -> DataFrame:
     """nodes (fp), distinct -> edges (a, b) whose components are those of all pairs at most `within` bits apart."""
     rows, edges = keyed(nodes), []
     for split in (quartered, lambda hot: celled(hot, "fp", BLOCK), None):
-        found = written(links(rows, within, BLOCK if split else None), "links")
+        found = written(gathered(links(rows, within, BLOCK if split else None)), "links")
         edges.append(found.where(~F.col("hot")).select("a", "b"))
         hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
         if split is None or hot.isEmpty():
@@ -271,7 +272,7 @@ def labelled(nodes: DataFrame, node: str, edges: DataFrame, name: str) -> DataFr
 
 def grouped(prints: DataFrame, within: int) -> DataFrame:
     """prints (doc_id, fp), written -> rows (doc_id, fp, component_id), components of fingerprints at most `within` bits apart."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = labelled(nodes, "fp", linked(nodes, within), "label")
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, within: int = 3) -> DataFra
     """64-bit fingerprints linked at `within` (3 or fewer) differing bits: rows (doc_id, fingerprint, component_id). Exact."""
     if not 0 <= within <= 3:
         raise ValueError("three segments and one corrected bit each prove links of 3 bits or fewer")
-    out = grouped(written(fingerprints(docs, width), "simhash"), within)
+    out = grouped(written(gathered(fingerprints(docs, width)), "simhash"), within)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -81,6 +81,28 @@ def test_links_lose_nothing(spark, monkeypatch, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_narrow_tables_take_few_files(spark, sf, monkeypatch):
+    """Many tasks make fingerprints and links, but they don't leave a file each."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before, tables, write = {k: spark.conf.get(k) for k in settings}, [], simhash.written
+
+    def kept(df, name):
+        tables.append((name, write(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(simhash, "written", kept)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(24)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert simhash.near_duplicates(docs).count() == docs.count()
+        files = [(name, len(t.inputFiles())) for name, t in tables if name in ("simhash", "links")]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {name for name, _ in files} == {"simhash", "links"} and all(n <= 2 for _, n in files), files
+
+
 def test_components_of_a_sorted_path(spark):
     """A path of ascending ids ends in one component after a few rounds."""
     from quirebase.llm.shared import components
